@@ -64,6 +64,7 @@ def find_hot_keys(
         hashed.withColumn("_merger", F.spark_partition_id() % _MERGERS)
         .groupBy("_merger")
         .agg(F.expr(f"approx_top_k_accumulate(_hash, {_TRACKED})").alias("sketch"))
+        .groupBy(F.lit(True))  # unlike a global aggregate, no row for empty input
         .agg(F.expr(f"approx_top_k_combine(sketch, {_TRACKED})").alias("sketch"))
         .select(F.expr(f"approx_top_k_estimate(sketch, {MAX_HOT_KEYS})").alias("top"))
         .select(F.inline("top"))

@@ -14,7 +14,7 @@ def _number_sessions(pieces: DataFrame, keys: list[str], gap_micros: int) -> Dat
     """Add ``_session``; pieces are (_first, _last) spans that do not overlap in time."""
     in_order = Window.partitionBy(*keys).orderBy("_first")
     idle = micros("_first") - micros(F.lag("_last").over(in_order))
-    starts = F.when(idle >= gap_micros, 1).otherwise(0)
+    starts = F.when(idle > gap_micros, 1).otherwise(0)
     return pieces.withColumn("_starts", starts).withColumn(
         "_session",
         F.sum("_starts").over(in_order.rowsBetween(Window.unboundedPreceding, 0)),
@@ -30,8 +30,9 @@ def sessionize(
 ) -> DataFrame:
     """One row per session: keys, session_start, session_end, n_events and ``sums``.
 
-    A session ends where the next event of the key comes ``gap_seconds`` or more
-    later. Two events in one gap-wide time cell always share a session, so events
+    A session ends where the next event of the key comes more than ``gap_seconds``
+    later, as with Spark's ``session_window``, which the streaming version uses.
+    Two events in one gap-wide time cell always share a session, so events
     are first counted per (key, cell), with map-side combine. Only cells meet in a
     per-key window: at most time range / gap rows, however many events a key has.
     """

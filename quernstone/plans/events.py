@@ -102,7 +102,7 @@ def moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 SESSIONS_CTE = """
     WITH marked AS (
         SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts)
-                            < INTERVAL {gap} THEN 0 ELSE 1 END AS starts
+                            <= INTERVAL {gap} THEN 0 ELSE 1 END AS starts
         FROM events),
     numbered AS (
         SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts
