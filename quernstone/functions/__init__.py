@@ -1,3 +1,3 @@
-from quernstone.functions.columns import floor_micros, in_slice, micros, money
+from quernstone.functions.columns import cents, floor_micros, in_slice, micros
 
-__all__ = ["floor_micros", "in_slice", "micros", "money"]
+__all__ = ["cents", "floor_micros", "in_slice", "micros"]

@@ -6,10 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def money(column: str | Column, precision: int = 12) -> Column:
-    """Exact cents: sums do not depend on the order in which partitions arrive."""
+def cents(column: str | Column) -> Column:
+    """Hundredths as whole numbers in doubles.
+
+    Their sums are exact up to 2**53, so they do not depend on the order in which
+    partitions arrive, and unlike decimals they stay primitive in generated code.
+    """
     column = F.col(column) if isinstance(column, str) else column
-    return column.cast(f"decimal({precision},2)")
+    return F.rint(column * 100)
 
 
 def micros(ts: str | Column) -> Column:

@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,14 +28,24 @@ def pooled_stddev(n: pd.Series, mean: pd.Series, squares: pd.Series) -> float:
     return float(np.sqrt((squares.sum() + between) / (count - 1)))
 
 
-class _Words:
-    def eval(self, text: str) -> Iterator[tuple[int, str]]:
-        if text is not None:
-            yield from enumerate(text.split(" "))
-
-
-words = F.udtf(
-    _Words,
-    returnType=T.StructType().add("position", T.IntegerType()).add("word", T.StringType()),
-    useArrow=True,
+@F.arrow_udtf(
+    returnType=T.StructType()
+    .add("key", T.LongType())
+    .add("position", T.IntegerType())
+    .add("word", T.StringType())
 )
+class Words:
+    """Table argument (key, text) -> one row per word, whole Arrow batches at a time."""
+
+    def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+        lists = pc.split_pattern(batch.column(1), " ")
+        row = pc.list_parent_indices(lists)
+        first = lists.offsets.to_numpy()[:-1]
+        position = np.arange(len(row)) - first[row.to_numpy()]
+        yield pa.table(
+            {
+                "key": batch.column(0).take(row),
+                "position": pa.array(position, pa.int32()),
+                "word": lists.flatten(),
+            }
+        )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.functions import money
+from quernstone.functions import cents
 from quernstone.operators import exact_percentiles, top_k_per_key
 from quernstone.plans.registry import query
 from quernstone.sources import load
@@ -33,9 +33,7 @@ def discount_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
             & (F.col("l_quantity") < 24)
         )
         .agg(
-            F.sum(money("l_extendedprice") * money("l_discount", 4))
-            .cast("double")
-            .alias("revenue")
+            (F.sum(cents("l_extendedprice") * cents("l_discount")) / 10_000).alias("revenue")
         )
     )
 
@@ -60,25 +58,25 @@ def discount_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    price = money("l_extendedprice")
-    discounted = price * (1 - money("l_discount", 4))
+    price = cents("l_extendedprice")
+    discounted = price * (100 - cents("l_discount"))
     n = F.count("*")
 
-    def total(column):
-        return F.sum(column).cast("double")
+    def total(column, unit=100):
+        return F.sum(column) / unit
 
     return (
         load(spark, sf_dir, "lineitem")
         .filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
         .groupBy("l_returnflag", "l_linestatus")
         .agg(
-            total(money("l_quantity")).alias("sum_qty"),
+            total(cents("l_quantity")).alias("sum_qty"),
             total(price).alias("sum_base_price"),
-            total(discounted).alias("sum_disc_price"),
-            F.round(F.sum(discounted * (1 + money("l_tax", 4))), 2).cast("double").alias("sum_charge"),
-            (total(money("l_quantity")) / n).alias("avg_qty"),
+            total(discounted, 10_000).alias("sum_disc_price"),
+            F.round(total(discounted * (100 + cents("l_tax")), 1_000_000), 2).alias("sum_charge"),
+            (total(cents("l_quantity")) / n).alias("avg_qty"),
             (total(price) / n).alias("avg_price"),
-            (total(money("l_discount", 4)) / n).alias("avg_disc"),
+            (total(cents("l_discount")) / n).alias("avg_disc"),
             n.alias("count_order"),
         )
     )
@@ -98,7 +96,7 @@ def _by_status_and_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         load(spark, sf_dir, "orders")
         .groupBy("o_orderstatus", "o_orderpriority")
-        .agg(F.count("*").alias("n"), F.sum(money("o_totalprice")).alias("price"))
+        .agg(F.count("*").alias("n"), F.sum(cents("o_totalprice")).alias("price"))
     )
 
 
@@ -106,7 +104,7 @@ def _subtotals(grouped) -> DataFrame:
     return grouped.agg(
         F.grouping_id().alias("level"),
         F.sum("n").alias("n_orders"),
-        F.sum("price").cast("double").alias("total_price"),
+        (F.sum("price") / 100).alias("total_price"),
     )
 
 

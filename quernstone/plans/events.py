@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.functions import money
+from quernstone.functions import cents
 from quernstone.operators import (
     asof_join,
     funnel,
@@ -84,7 +84,7 @@ def view_click_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = load(spark, sf_dir, "events").select(
-        "event_id", "user_id", "ts", money("value").alias("value")
+        "event_id", "user_id", "ts", cents("value").alias("value")
     )
     return trailing(
         events,
@@ -93,8 +93,7 @@ def moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
         ["event_id"],
         6,
         {
-            "avg_value": lambda w: F.sum("value").over(w).cast("double")
-            / F.count(F.lit(1)).over(w)
+            "avg_value": lambda w: F.sum("value").over(w) / 100 / F.count(F.lit(1)).over(w)
         },
     ).drop("value")
 
@@ -124,9 +123,9 @@ def sessionized(spark: SparkSession, sf_dir: str) -> DataFrame:
         ["user_id"],
         "ts",
         HOUR // 2,
-        {"total_value": money("value")},
+        {"total_value": cents("value")},
     )
-    return found.withColumn("total_value", F.col("total_value").cast("double"))
+    return found.withColumn("total_value", F.col("total_value") / 100)
 
 
 @query(
@@ -165,9 +164,9 @@ HOURLY_SQL = """
 @query(HOURLY_SQL)
 def hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = tumbling(
-        load(spark, sf_dir, "events"), "ts", "1 hour", {"total_value": money("value")}
+        load(spark, sf_dir, "events"), "ts", "1 hour", {"total_value": cents("value")}
     )
-    return counts.withColumn("total_value", F.col("total_value").cast("double"))
+    return counts.withColumn("total_value", F.col("total_value") / 100)
 
 
 @query(
@@ -183,6 +182,6 @@ def sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ts",
         "1 hour",
         "15 minutes",
-        {"total_value": money("value")},
+        {"total_value": cents("value")},
     )
-    return counts.withColumn("total_value", F.col("total_value").cast("double"))
+    return counts.withColumn("total_value", F.col("total_value") / 100)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.functions import money
+from quernstone.functions import cents
 from quernstone.plans.registry import query
 from quernstone.sources import load
 
@@ -33,7 +33,7 @@ def star_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_order = (
         load(spark, sf_dir, "lineitem")
         .groupBy("l_orderkey")
-        .agg(F.sum(money("l_extendedprice") * (1 - money("l_discount", 4))).alias("revenue"))
+        .agg(F.sum(cents("l_extendedprice") * (100 - cents("l_discount"))).alias("revenue"))
     )
     places = (
         load(spark, sf_dir, "customer")
@@ -47,7 +47,7 @@ def star_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(per_order, F.col("o_orderkey") == F.col("l_orderkey"))
         .join(places, F.col("o_custkey") == F.col("c_custkey"))
         .groupBy("r_name", "n_name", "o_year")
-        .agg(F.sum("revenue").cast("double").alias("revenue"))
+        .agg((F.sum("revenue") / 10_000).alias("revenue"))
     )
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.functions import money
+from quernstone.functions import cents
 from quernstone.operators import interval_join
 from quernstone.plans.events import HOUR, HOURLY_SQL, SESSIONS_CTE, VIEW_CLICK_SQL, of_type
 from quernstone.plans.registry import query
@@ -40,10 +40,10 @@ def _without_zone(df: DataFrame, *columns: str) -> DataFrame:
 )
 def stream_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = stream_tumbling(
-        _events(spark, sf_dir), "ts", "1 hour", "1 hour", {"total_value": money("value")}
+        _events(spark, sf_dir), "ts", "1 hour", "1 hour", {"total_value": cents("value")}
     )
     return _without_zone(
-        run_append(counts, "hourly").withColumn("total_value", F.col("total_value").cast("double")),
+        run_append(counts, "hourly").withColumn("total_value", F.col("total_value") / 100),
         "window_start",
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.functions.udfs import pooled_stddev, title_case, words
+from quernstone.functions.udfs import Words, pooled_stddev, title_case
 from quernstone.plans.registry import query
 from quernstone.sources import load
 
@@ -55,6 +55,4 @@ def udf_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def udtf_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = load(spark, sf_dir, "part").select("p_partkey", "p_name")
-    return part.lateralJoin(words(F.col("p_name").outer())).select(
-        "p_partkey", "position", "word"
-    )
+    return Words(part.asTable()).select(F.col("key").alias("p_partkey"), "position", "word")

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from quernstone.session import scratch, settings
 
-# Keyed state goes to disk instead of the executor heap; sessions are merged
-# within a partition before the shuffle, so a hot key travels as few rows.
+# Keyed state goes to disk instead of the executor heap, and a batch uploads its
+# changes rather than snapshots. Sessions are merged within a partition before the
+# shuffle, so a hot key travels as few rows.
 _STREAM_SETTINGS = {
     "spark__sql__streaming__stateStore__providerClass": "org.apache.spark.sql.execution."
     "streaming.state.RocksDBStateStoreProvider",
+    "spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled": "true",
     "spark__sql__streaming__sessionWindow__merge__sessions__in__local__partition": "true",
 }
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quernstone.functions import cents
+
 
 def _combine(df: DataFrame, key: str) -> DataFrame:
     """Sum within each Arrow batch, so that a hot key is shuffled as few partial rows."""
@@ -33,19 +35,19 @@ def running_totals(df: DataFrame, key: str, amount: str) -> DataFrame:
     rows = df.select(
         key,
         F.lit(1).cast("long").alias("n"),
-        F.coalesce((F.col(amount).cast("decimal(12,2)") * 100).cast("long"), F.lit(0)).alias("cents"),
+        F.coalesce(cents(amount).cast("long"), F.lit(0)).alias("cents"),
     )
     key_type = df.schema[key].dataType.simpleString()
 
     def add(
         group: tuple, chunks: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        n, cents = state.get if state.exists else (0, 0)
+        n, total = state.get if state.exists else (0, 0)
         for chunk in chunks:
             n += int(chunk["n"].sum())
-            cents += int(chunk["cents"].sum())
-        state.update((n, cents))
-        yield pd.DataFrame({key: [group[0]], "n": [n], "cents": [cents]})
+            total += int(chunk["cents"].sum())
+        state.update((n, total))
+        yield pd.DataFrame({key: [group[0]], "n": [n], "cents": [total]})
 
     return (
         _combine(rows, key)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from compare import difference
-from quernstone.functions import in_slice, money
+from quernstone.functions import cents, in_slice
 from quernstone.operators import (
     asof_join,
     exact_percentiles,
@@ -193,8 +193,8 @@ def test_sessions_before_1970_and_sums(spark):
     base = datetime(1969, 12, 31, 23, 59, 58)
     rows = [("k", base + timedelta(seconds=s), 1.5) for s in range(5)]
     df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, v double")
-    (only,) = sessionize(df, ["k"], "ts", 3, {"total": money("v")}).collect()
-    assert (only.session_start, only.n_events, float(only.total)) == (base, 5, 7.5)
+    (only,) = sessionize(df, ["k"], "ts", 3, {"total": cents("v")}).collect()
+    assert (only.session_start, only.n_events, only.total) == (base, 5, 750.0)
 
 
 def brute_funnel(rows, steps, gap):
@@ -281,10 +281,10 @@ def test_top_k_ties_and_partial_limit(spark):
 
 def test_sliding_equals_built_in_window(spark, sf_dir):
     events = load(spark, sf_dir, "events")
-    ours = sliding(events, "ts", "1 hour", "15 minutes", {"total": money("value")})
+    ours = sliding(events, "ts", "1 hour", "15 minutes", {"total": cents("value")})
     built_in = (
         events.groupBy(F.window("ts", "1 hour", "15 minutes").alias("w"))
-        .agg(F.count("*").alias("n"), F.sum(money("value")).alias("total"))
+        .agg(F.count("*").alias("n"), F.sum(cents("value")).alias("total"))
         .select(F.col("w.start").alias("window_start"), "n", "total")
     )
     assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, built_in.collect()))

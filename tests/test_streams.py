@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.functions import money
+from quernstone.functions import cents
 from quernstone.operators import interval_join, tumbling
 from quernstone.sources import load, load_stream
 from quernstone.streaming import (
@@ -84,7 +84,7 @@ def test_late_event_is_dropped_and_open_window_kept_back(feed):
 
 
 def test_hourly_over_four_batches_equals_batch(spark, sf_dir, event_files):
-    sums = {"total": money("value")}
+    sums = {"total": cents("value")}
     streamed = run_append(stream_tumbling(event_files(), "ts", "1 hour", "1 hour", sums), "hours")
     batch = tumbling(load(spark, sf_dir, "events"), "ts", "1 hour", sums).withColumn(
         "window_start", F.col("window_start").cast("timestamp")
