@@ -30,6 +30,7 @@ class HotKeys:
     """Slice bounds per hot key hash; ``bounds`` is None when no key is hot."""
 
     bounds: DataFrame | None
+    most: int = 0
 
     def attach(self, df: DataFrame, keys: list[str], ts: str | Column) -> DataFrame:
         """Add ``_slice`` (rises with ``ts`` inside a key) and ``_hot``."""
@@ -41,9 +42,9 @@ class HotKeys:
             .withColumn("_hot", F.col("_bounds").isNotNull())
             .withColumn(
                 "_slice",
-                F.when(
-                    F.col("_hot"), in_slice(micros(ts), F.col("_bounds"), MAX_SLICES)
-                ).otherwise(0),
+                F.when(F.col("_hot"), in_slice(micros(ts), F.col("_bounds"), self.most)).otherwise(
+                    0
+                ),
             )
             .drop("_hash", "_bounds")
         )
@@ -60,7 +61,7 @@ def find_hot_keys(
     """
     spark = df.sparkSession
     hashed = df.select(F.xxhash64(*keys).alias("_hash"), micros(ts).alias("_micros"))
-    top = (
+    hot = (
         hashed.withColumn("_merger", F.spark_partition_id() % _MERGERS)
         .groupBy("_merger")
         .agg(F.expr(f"approx_top_k_accumulate(_hash, {_TRACKED})").alias("sketch"))
@@ -69,24 +70,29 @@ def find_hot_keys(
         .select(F.expr(f"approx_top_k_estimate(sketch, {MAX_HOT_KEYS})").alias("top"))
         .select(F.inline("top"))
         .filter(F.col("count") > rows_per_slice)
-        .select(F.col("item").alias("_hash"))
+        .collect()
     )
-    hot = [row._hash for row in top.collect()]
     if not hot:
         return HotKeys(None)
-    share = [(i + 1) / MAX_SLICES for i in range(MAX_SLICES - 1)]
-    step = F.greatest(F.lit(1), F.floor(F.lit(MAX_SLICES * rows_per_slice) / F.col("n")))
-    cuts = (
-        hashed.join(F.broadcast(spark.createDataFrame([(h,) for h in hot], "_hash bigint")), "_hash")
-        .groupBy("_hash")
+    # One grid of quantiles for all hot keys, fine enough for the largest; smaller
+    # keys use every `step`-th cut.
+    parts = min(MAX_SLICES, -(-max(row["count"] for row in hot) // rows_per_slice))
+    step = F.greatest(F.lit(1), F.floor(F.lit(parts * rows_per_slice) / F.col("n")))
+    only_hot = F.broadcast(
+        spark.createDataFrame([(row.item, row["count"]) for row in hot], "_hash bigint, n bigint")
+    )
+    bounds = (
+        hashed.join(only_hot, "_hash")
+        .groupBy("_hash", "n")
         .agg(
-            F.count("*").alias("n"),
-            F.percentile_approx("_micros", share, 10 * MAX_SLICES).alias("cuts"),
-        )
-        .select(
-            "_hash",
-            F.filter("cuts", lambda _, i: (i + 1) % step == 0).alias("_bounds"),
+            F.percentile_approx(
+                "_micros", [i / parts for i in range(1, parts)] or [0.5], 10 * parts
+            ).alias("cuts")
         )
+        .filter("cuts IS NOT NULL")
+        .select("_hash", F.filter("cuts", lambda _, i: (i + 1) % step == 0).alias("_bounds"))
+        .collect()
     )
-    rows = [tuple(row) for row in cuts.filter("_bounds IS NOT NULL").collect()]
-    return HotKeys(spark.createDataFrame(rows, "_hash bigint, _bounds array<bigint>"))
+    # Bounds are fixed here: every branch of a plan must cut at the same places.
+    rows = [tuple(row) for row in bounds]
+    return HotKeys(spark.createDataFrame(rows, "_hash bigint, _bounds array<bigint>"), parts)

@@ -140,7 +140,8 @@ def orders_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def segment_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # One row per customer before the join: a hot customer cannot skew it.
+    # One row per customer before the join: a hot customer cannot skew it, and the
+    # distinct customers of a segment are then its rows, counted with map-side combine.
     per_customer = (
         load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
     )
@@ -150,7 +151,7 @@ def segment_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("c_mktsegment")
         .agg(
             F.sum("n").alias("n_orders"),
-            F.count_distinct("o_custkey").alias("n_customers"),
+            F.count("*").alias("n_customers"),
             F.approx_count_distinct("o_custkey", 0.05).alias("approx"),
         )
     )
