@@ -1,4 +1,4 @@
-from quernstone.operators.joins import asof_join, interval_join
+from quernstone.operators.joins import asof_join, interval_counts, interval_join
 from quernstone.operators.percentiles import exact_percentiles
 from quernstone.operators.sessions import funnel, sessionize
 from quernstone.operators.windows import sliding, top_k_per_key, trailing, tumbling
@@ -7,6 +7,7 @@ __all__ = [
     "asof_join",
     "exact_percentiles",
     "funnel",
+    "interval_counts",
     "interval_join",
     "sessionize",
     "sliding",

@@ -134,3 +134,81 @@ def interval_join(
         condition = condition & part
     rest = [F.col(f"r.{c}") for c in right.columns if c not in by]
     return l.join(r, condition).select(*[F.col(f"l.{c}") for c in left.columns], *rest)
+
+
+def interval_counts(
+    left: DataFrame,
+    right: DataFrame,
+    by: list[str],
+    left_ts: str,
+    right_ts: str,
+    upper_seconds: int,
+    rows_per_slice: int = ROWS_PER_SLICE,
+) -> DataFrame:
+    """Each left row with ``n_matches``: how many pairs ``interval_join`` makes with it.
+
+    Left rows must be distinct. No pairs are formed: the right rows of a key are
+    counted in time order, and the count is read where the interval opens and where
+    it closes. The work grows with the rows even where the pairs grow with their
+    square. A hot key is counted in slices that start from the total before them.
+    """
+    right = right.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in [*by, right_ts]))
+    columns = left.columns
+    none = F.lit(None).cast(T.StructType([left.schema[c] for c in columns]))
+    opens = F.col(left_ts)
+    closes = opens + F.expr(f"INTERVAL '{upper_seconds}' SECOND")
+    probes = left.select(
+        *by,
+        F.struct(*columns).alias("_l"),
+        F.lit(0).alias("_add"),
+        F.lit(_LEFT).alias("_side"),
+        F.inline(
+            F.array(
+                F.struct(opens.alias("_t"), F.lit(-1).alias("_sign")),
+                F.struct(closes.alias("_t"), F.lit(1).alias("_sign")),
+            )
+        ),
+    )
+    rows = probes.unionByName(
+        right.select(
+            *by,
+            none.alias("_l"),
+            F.lit(1).alias("_add"),
+            F.lit(_RIGHT).alias("_side"),
+            F.col(right_ts).alias("_t"),
+            F.lit(0).alias("_sign"),
+        )
+    )
+    hot = find_hot_keys(rows, by, "_t", rows_per_slice)
+    rows = hot.attach(rows, by, "_t").withColumn("_add", F.col("_add").cast("long"))
+    if hot.bounds is not None:
+        before = (
+            Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        )
+        seeds = (
+            rows.filter("_hot")
+            .groupBy(*by, "_slice", "_hot")
+            .agg(F.sum("_add").alias("_add"))
+            .withColumn("_add", F.sum("_add").over(before))
+            .filter("_add > 0")
+            .withColumns(
+                {
+                    "_l": none,
+                    "_side": F.lit(_SEED),
+                    "_t": F.lit(None).cast(left.schema[left_ts].dataType),
+                    "_sign": F.lit(0),
+                }
+            )
+        )
+        rows = rows.unionByName(seeds)
+    upto = (
+        Window.partitionBy(*by, "_slice")
+        .orderBy(F.col("_t").asc_nulls_first(), "_side")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    return (
+        rows.withColumn("_seen", F.sum("_add").over(upto))
+        .filter(F.col("_side") == _LEFT)
+        .groupBy(*[F.col(f"_l.{c}").alias(c) for c in columns])
+        .agg(F.sum(F.col("_seen") * F.col("_sign")).alias("n_matches"))
+    )

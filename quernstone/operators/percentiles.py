@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_, or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,44 +21,63 @@ def exact_percentiles(
 
     Spark's own ``percentile`` keeps all distinct values of a group in one buffer.
     Here a mergeable sketch first brackets each percentile. A second pass counts
-    what lies below the bracket, and the copies of each value inside it, both with
+    what lies below the brackets, and the copies of each value inside one, with
     map-side combine; only the distinct values inside are ordered. Small groups get
-    an open bracket. If a bracket missed, the query would fail rather than return a
+    open brackets. If a bracket missed, the query would fail rather than return a
     wrong value.
     """
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    targets = _brackets(rows, keys, shares)
-    same = reduce(
-        lambda a, b: a & b, [F.col(f"rows.{k}").eqNullSafe(F.col(f"targets.{k}")) for k in keys]
-    )
-    target = [*keys, "_name", "_rank"]
-    inside = F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo"))
+    same = reduce(and_, [F.col(f"rows.{k}").eqNullSafe(F.col(f"ends.{k}")) for k in keys])
+    n = len(shares)
+
+    # -1, 0, 1: below, inside, above the bracket of each share
+    def side(i: int) -> Column:
+        return F.when(F.col("_v") < F.col(f"_lo{i}"), -1).when(F.col("_v") > F.col(f"_hi{i}"), 1).otherwise(0)
+
+    sides = [f"_side{i}" for i in range(n)]
+    inside_any = reduce(or_, [F.col(name) == 0 for name in sides])
     counts = (
         rows.alias("rows")
-        .join(targets.alias("targets"), same)
+        .join(_brackets(rows, keys, shares).alias("ends"), same)
         .select(
             *[F.col(f"rows.{k}") for k in keys],
             "_v",
+            "_n",
+            *[side(i).alias(name) for i, name in enumerate(sides)],
+        )
+        .groupBy(*keys, "_n", *sides, F.when(inside_any, F.col("_v")).alias("_v"))
+        .agg(F.count("*").alias("_copies"))
+        .select(
+            *keys,
+            "_copies",
             F.inline(
-                F.filter(
-                    "_targets",
-                    lambda t: t["_hi"].isNull() | (F.col("_v") <= t["_hi"]),
+                F.array(
+                    *[
+                        F.struct(
+                            F.lit(i).alias("_share"),
+                            ((F.col("_n") - 1) * F.lit(float(share))).alias("_rank"),
+                            F.when(F.col(f"_side{i}") == 0, F.col("_v")).alias("_v"),
+                            (F.col(f"_side{i}") <= 0).alias("_counts"),
+                        )
+                        for i, share in enumerate(shares.values())
+                    ]
                 )
             ),
         )
-        .groupBy(*target, F.when(inside, F.col("_v")).alias("_v"))
-        .agg(F.count("*").alias("_copies"))
+        .filter("_counts")
     )
-    upto = Window.partitionBy(*keys, "_name").orderBy(F.col("_v").asc_nulls_first())
-    end = F.sum("_copies").over(upto)
+    # Rows below the bracket have no value, so they come first and only add to the count.
+    upto = Window.partitionBy(*keys, "_share").orderBy(F.col("_v").asc_nulls_first())
+    first, last = F.col("_end") - F.col("_copies"), F.col("_end") - 1
 
-    def value_at(rank):
-        return F.max(F.when((rank >= F.col("_end") - F.col("_copies")) & (rank < F.col("_end")), F.col("_v")))
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when(rank.between(first, last), F.col("_v")))
 
     found = (
-        counts.withColumn("_end", end)
-        .groupBy(*target)
+        counts.withColumn("_end", F.sum("_copies").over(upto))
+        .groupBy(*keys, "_share")
         .agg(
+            F.max("_rank").alias("_rank"),
             value_at(F.floor("_rank")).alias("_below"),
             value_at(F.ceil("_rank")).alias("_above"),
         )
@@ -67,12 +87,12 @@ def exact_percentiles(
         F.col("_below") + (F.col("_above") - F.col("_below")) * (F.col("_rank") - F.floor("_rank"))
     )
     return found.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_name") == name, exact)).alias(name) for name in shares]
+        *[F.max(F.when(F.col("_share") == i, exact)).alias(name) for i, name in enumerate(shares)]
     )
 
 
 def _brackets(rows: DataFrame, keys: list[str], shares: dict[str, float]) -> DataFrame:
-    """Per group an array of (name, rank, lo, hi); a NULL end is open."""
+    """Per group the count _n and the bracket (_lo, _hi) of each share; a NULL end is open."""
     points = [
         min(1.0, max(0.0, share + side)) for share in shares.values() for side in (-_MARGIN, _MARGIN)
     ]
@@ -80,23 +100,21 @@ def _brackets(rows: DataFrame, keys: list[str], shares: dict[str, float]) -> Dat
         F.count("*").alias("_n"), F.percentile_approx("_v", points, _ACCURACY).alias("_ends")
     )
     large = F.col("_n") > _ACCURACY
-    targets = found.select(
+    ends = found.select(
         *keys,
-        F.array(
-            *[
-                F.struct(
-                    F.lit(name).alias("_name"),
-                    ((F.col("_n") - 1) * F.lit(float(share))).alias("_rank"),
-                    F.when(large & F.lit(share > _MARGIN), F.get("_ends", F.lit(2 * i))).alias("_lo"),
-                    F.when(
-                        large & F.lit(share < 1 - _MARGIN), F.get("_ends", F.lit(2 * i + 1))
-                    ).alias("_hi"),
-                )
-                for i, (name, share) in enumerate(shares.items())
-            ]
-        ).alias("_targets"),
+        "_n",
+        *[
+            end
+            for i, share in enumerate(shares.values())
+            for end in (
+                F.when(large & F.lit(share > _MARGIN), F.get("_ends", F.lit(2 * i))).alias(f"_lo{i}"),
+                F.when(large & F.lit(share < 1 - _MARGIN), F.get("_ends", F.lit(2 * i + 1))).alias(
+                    f"_hi{i}"
+                ),
+            )
+        ],
     )
-    few = targets.limit(_MAX_GROUPS + 1).collect()
+    few = ends.limit(_MAX_GROUPS + 1).collect()
     if len(few) > _MAX_GROUPS:
-        return targets
-    return F.broadcast(rows.sparkSession.createDataFrame(few, targets.schema))
+        return ends
+    return F.broadcast(rows.sparkSession.createDataFrame(few, ends.schema))

@@ -9,6 +9,7 @@ from quernstone.functions import cents
 from quernstone.operators import (
     asof_join,
     funnel,
+    interval_counts,
     interval_join,
     sessionize,
     sliding,
@@ -73,6 +74,27 @@ def view_click_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    """
+    SELECT v.user_id, v.event_id AS view_id, v.ts AS view_ts, count(c.event_id) AS n_matches
+    FROM (SELECT * FROM events WHERE event_type = 'view') v
+    LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c
+      ON v.user_id = c.user_id AND c.ts > v.ts AND c.ts <= v.ts + INTERVAL 6 HOUR
+    GROUP BY ALL
+    """
+)
+def view_click_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = load(spark, sf_dir, "events")
+    return interval_counts(
+        of_type(events, "view", "view"),
+        of_type(events, "click", "click"),
+        ["user_id"],
+        "view_ts",
+        "click_ts",
+        6 * HOUR,
+    )
+
+
 @query(
     """
     SELECT event_id, user_id, ts,

@@ -16,6 +16,7 @@ from quernstone.operators import (
     asof_join,
     exact_percentiles,
     funnel,
+    interval_counts,
     interval_join,
     sessionize,
     sliding,
@@ -161,6 +162,35 @@ def test_interval_join_equals_brute_force(spark, cells):
     assert sorted((p.a, p.b) for p in found.collect()) == expected
 
 
+@pytest.mark.parametrize("rows_per_slice", [1_000_000, 25, 1])
+def test_interval_counts_equal_brute_force(spark, rows_per_slice):
+    rows = skewed_rows()
+    l = spark.createDataFrame(rows, SKEWED).select("key", F.col("id").alias("a"), F.col("ts").alias("ats"))
+    r = spark.createDataFrame(rows, SKEWED).select("key", F.col("ts").alias("bts"))
+    limit = timedelta(seconds=100)
+    expected = {
+        x[0]: sum(x[1] == y[1] and x[2] < y[2] <= x[2] + limit for y in rows) for x in rows
+    }
+    found = interval_counts(l, r, ["key"], "ats", "bts", 100, rows_per_slice)
+    got = found.collect()
+    assert len(got) == len(rows)
+    assert {p.a: p.n_matches for p in got} == expected
+
+
+def test_interval_counts_edges_and_nulls(spark):
+    l = spark.createDataFrame(
+        [("k", at(0)), (None, at(0)), ("k", None), ("other", at(0))], "k string, a timestamp_ntz"
+    )
+    r = spark.createDataFrame(
+        [("k", at(0)), ("k", at(1)), ("k", at(10)), ("k", at(10.000001)), ("k", None), (None, at(1))],
+        "k string, b timestamp_ntz",
+    )
+    for rows_per_slice in (1_000_000, 1):
+        found = interval_counts(l, r, ["k"], "a", "b", 10, rows_per_slice)
+        got = {(p.k, p.a): p.n_matches for p in found.collect()}
+        assert got == {("k", at(0)): 2, (None, at(0)): 0, ("k", None): 0, ("other", at(0)): 0}
+
+
 def test_interval_edges_and_nulls(spark):
     l = spark.createDataFrame([("k", at(0)), (None, at(0)), ("k", None)], "k string, a timestamp_ntz")
     r = spark.createDataFrame(
