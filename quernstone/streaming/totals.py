@@ -1,62 +1,20 @@
-"""Running totals per key with explicit state."""
+"""Running totals per key."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quernstone.functions import cents
 
 
-def _combine(df: DataFrame, key: str) -> DataFrame:
-    """Sum within each Arrow batch, so that a hot key is shuffled as few partial rows."""
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = (
-                pa.Table.from_batches([batch])
-                .group_by(key)
-                .aggregate([("n", "sum"), ("cents", "sum")])
-                .rename_columns({"n_sum": "n", "cents_sum": "cents"})
-                .select([key, "n", "cents"])
-            )
-            yield from sums.to_batches()
-
-    return df.mapInArrow(partial, df.schema)
-
-
 def running_totals(df: DataFrame, key: str, amount: str) -> DataFrame:
-    """Per key the number of rows so far and their total in cents, after every batch."""
-    rows = df.select(
-        key,
-        F.lit(1).cast("long").alias("n"),
-        F.coalesce(cents(amount).cast("long"), F.lit(0)).alias("cents"),
-    )
-    key_type = df.schema[key].dataType.simpleString()
-
-    def add(
-        group: tuple, chunks: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        n, total = state.get if state.exists else (0, 0)
-        for chunk in chunks:
-            n += int(chunk["n"].sum())
-            total += int(chunk["cents"].sum())
-        state.update((n, total))
-        yield pd.DataFrame({key: [group[0]], "n": [n], "cents": [total]})
-
-    return (
-        _combine(rows, key)
-        .groupBy(key)
-        .applyInPandasWithState(
-            add,
-            f"{key} {key_type}, n long, cents long",
-            "n long, cents long",
-            "update",
-            GroupStateTimeout.NoTimeout,
-        )
+    """Per key the number of rows so far and their total in cents, for update mode.
+
+    Built-in aggregation state: rows are summed per key and input partition before
+    the shuffle, and no Python runs per key.
+    """
+    return df.groupBy(key).agg(
+        F.count("*").alias("n"),
+        F.coalesce(F.sum(cents(amount)).cast("long"), F.lit(0)).alias("cents"),
     )
