@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import in_slice, micros
 
-ROWS_PER_SLICE = 1_000_000
+ROWS_PER_SLICE = 10_000_000  # rows one task sorts without trouble
 MAX_HOT_KEYS = 1_000  # at most this many rows reach the driver and the broadcast
 MAX_SLICES = 1_000  # per key, so the broadcast stays below 8 MB
 _TRACKED = 10_000  # items the sketch keeps
