@@ -3,19 +3,70 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quernstone.llm.mixing import mix
 from quernstone.llm.packing import pack_documents
 from quernstone.llm.registry import query
+from quernstone.llm.token_counts import prefix_counts
+from quernstone.llm.token_matrices import token_matrices
+from quernstone.llm.vectors import exact_topk, nearest
 from quernstone.sources import load
 
 
+@query()
+def op2_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_matrices(load(spark, sf_dir, "documents"))
+
+
 @query()
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(load(spark, sf_dir, "documents"))
 
 
+@query()
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = prefix_counts(load(spark, sf_dir, "documents"))
+    return counts.selectExpr("doc_id", "n_bytes", "n_tokens", "n_tokens > 2048 AS over_limit")
+
+
+def _vectors(spark: SparkSession, sf_dir: str, every: int) -> tuple[DataFrame, DataFrame]:
+    rows = load(spark, sf_dir, "embeddings").selectExpr("vec_id AS id", "embedding AS v")
+    return rows, rows.where(F.col("id") % every == 0)
+
+
+@query(
+    """
+    WITH v AS (
+      SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q
+      FROM embeddings
+      WHERE vec_id IS NOT NULL AND len(embedding) > 0
+        AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    ), scored AS (
+      SELECT a.vec_id AS query_id, b.vec_id,
+             CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id
+      WHERE a.vec_id % 100 = 0
+    ), ranked AS (
+      SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id
+             ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+      FROM scored
+    )
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+    """
+)
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk(*_vectors(spark, sf_dir, 100))
+
+
 @query()
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(load(spark, sf_dir, "documents"))
-    return mixed.selectExpr("id AS doc_id", "size", "source_size", "target", "taken", "source", "copies")
+    return mixed.selectExpr(
+        "id AS doc_id", "size", "source_size", "target", "taken", "source", "copies"
+    )
+
+
+@query()
+def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(*_vectors(spark, sf_dir, 50))
