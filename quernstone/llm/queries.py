@@ -8,12 +8,23 @@ from pyspark.sql import functions as F
 from quernstone.llm.mixing import mix
 from quernstone.llm.packing import pack_documents
 from quernstone.llm.registry import query
+from quernstone.llm.secrets import find_secrets
 from quernstone.llm.token_counts import prefix_counts
 from quernstone.llm.token_matrices import token_matrices
 from quernstone.llm.vectors import exact_topk, nearest
 from quernstone.sources import load
 
 
+@query()
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(load(spark, sf_dir, "documents"))
+    named = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"),
+        F.array_join(named, ",").alias("spans"), "learned",
+    )
+
+
 @query()
 def op2_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_matrices(load(spark, sf_dir, "documents"))
