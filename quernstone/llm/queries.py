@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.llm.language_model import score_documents
 from quernstone.llm.mixing import mix
 from quernstone.llm.packing import pack_documents
 from quernstone.llm.registry import query
@@ -30,6 +31,11 @@ def op2_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_matrices(load(spark, sf_dir, "documents"))
 
 
+@query()
+def op3_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(load(spark, sf_dir, "documents"))
+
+
 @query()
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(load(spark, sf_dir, "documents"))
