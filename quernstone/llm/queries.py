@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quernstone.llm.language_model import score_documents
 from quernstone.llm.mixing import mix
+from quernstone.llm.near_duplicates import near_duplicates
 from quernstone.llm.packing import pack_documents
 from quernstone.llm.registry import query
 from quernstone.llm.secrets import find_secrets
@@ -47,6 +48,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.selectExpr("doc_id", "n_bytes", "n_tokens", "n_tokens > 2048 AS over_limit")
 
 
+@query()
+def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(load(spark, sf_dir, "documents"), size=4)
+
+
 def _vectors(spark: SparkSession, sf_dir: str, every: int) -> tuple[DataFrame, DataFrame]:
     rows = load(spark, sf_dir, "embeddings").selectExpr("vec_id AS id", "embedding AS v")
     return rows, rows.where(F.col("id") % every == 0)
