@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from quernstone.llm.tokens import WORD_BPE, words_of
 
 #: Tokens that a task holds at once (4 bytes each), and rows of one written matrix.
-GATHERED = 4_000_000
-MATRIX_ROWS = 256
+GATHERED = 1_000_000
+MATRIX_ROWS = 32
 
 
 class RoomTree:
