@@ -28,6 +28,9 @@ def row_ids():
     return itertools.count(first)
 
 
-def slices(n: int, size: int):
-    for start in range(0, n, size):
-        yield start, min(n, start + size)
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores added until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

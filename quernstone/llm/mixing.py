@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import written
+from quernstone.llm.common import unused, written
 
 #: Documents that one task rounds in one piece; more become more chunks, not larger ones.
 CHUNK = 2_048
@@ -238,27 +238,33 @@ def mixed_documents(
 ) -> DataFrame:
     """``docs`` with every row as often as the mix takes it; the columns stay.
 
-    Rows equal in id, source and size but not otherwise are numbered by their other columns' order.
+    Rows equal in id, source and size share their copies evenly: sizes are what counts.
     """
-    plan = mix(docs, id_col, text_col, source_col, **options).select(
-        F.struct("id", "source", "size").alias("_who"), "nth", "copies"
-    )
-    # copies of equal rows are summed: which of them is repeated makes no difference
-    plan = plan.groupBy("_who").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    who = F.struct(
-        F.col(id_col).cast("long").alias("id"),
-        F.col(source_col).cast("string").alias("source"),
-        word_count(text_col).alias("size"),
-    )
-    tagged = docs.withColumn("_who", who).withColumn("_row", F.monotonically_increasing_id())
-    joined = tagged.join(plan.withColumnRenamed("_who", "_of"), F.expr("_who <=> _of"))
-    nth = F.when(F.col("_rows") == 1, F.lit(0).cast("long")).otherwise(
-        F.row_number().over(Window.partitionBy("_who").orderBy("_row")) - 1
+    who, row, of = (unused(docs, f"mix_{name}") for name in ("who", "row", "of"))
+    copies, rows, times = (unused(docs, f"mix_{name}") for name in ("copies", "rows", "times"))
+
+    def key(identity, source, size):
+        return F.struct(
+            F.coalesce(identity, F.lit(0).cast("long")).alias("id"),
+            identity.isNull().alias("no_id"),
+            F.coalesce(source, F.lit("")).alias("source"),
+            source.isNull().alias("no_source"),
+            size.alias("size"),
+        )
+
+    plan = (
+        mix(docs, id_col, text_col, source_col, **options)
+        .groupBy(key(F.col("id"), F.col("source"), F.col("size")).alias(of))
+        .agg(F.sum("copies").alias(copies), F.count("*").alias(rows))
+        .where(F.col(copies) > 0)
     )
-    times = F.floor(F.col("_copies") / F.col("_rows")) + F.when(
-        nth < F.col("_copies") % F.col("_rows"), 1
-    ).otherwise(0)
-    repeated = joined.withColumn("_times", times.cast("int")).where("_times > 0")
-    return repeated.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(
-        *[F.col(f"`{c}`") for c in docs.columns]
+    own = key(F.col(id_col).cast("long"), F.col(source_col).cast("string"), word_count(text_col))
+    joined = docs.withColumn(who, own).join(plan, F.col(who) == F.col(of))
+    nth = F.row_number().over(Window.partitionBy(who).orderBy(F.col(text_col))) - 1
+    share = F.floor(F.col(copies) / F.col(rows)) + (nth < F.col(copies) % F.col(rows)).cast("long")
+    return (
+        joined.withColumn(times, share)
+        .where(F.col(times) > 0)
+        .withColumn(row, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
     )

@@ -17,10 +17,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import written
+from quernstone.llm.common import unused, written
 
 BANDS, ROWS = 32, 4
 #: Documents of a group that one task compares.
@@ -348,3 +348,23 @@ def near_duplicates(
         "doc_id", "n_shingles", component.alias("component_id"),
         F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"),
     )
+
+
+def deduplicated(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, **options
+) -> DataFrame:
+    """One row of each group of near-duplicates, that of the smallest id; the columns stay.
+
+    Rows that repeat an id are one document, of which the first text in order stays.
+    Rows without an id can't be told apart from others and all stay.
+    """
+    found = near_duplicates(docs, id_col, text_col, size=size, **options)
+    kept, nth = unused(docs, "kept_id"), unused(docs, "kept_nth")
+    ids = found.where("kept").select(F.col("doc_id").alias(kept)).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).join(
+        ids, F.col(id_col) == F.col(kept), "inner"
+    )
+    order = Window.partitionBy(kept).orderBy(F.col(text_col))
+    first = named.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return first.select(*columns).unionAll(docs.where(F.col(id_col).isNull()).select(*columns))

@@ -9,6 +9,7 @@ from quernstone.llm.language_model import score_documents
 from quernstone.llm.mixing import mix
 from quernstone.llm.near_duplicates import near_duplicates
 from quernstone.llm.packing import pack_documents
+from quernstone.llm.quality import classify_documents
 from quernstone.llm.registry import query
 from quernstone.llm.secrets import find_secrets
 from quernstone.llm.token_counts import prefix_counts
@@ -42,6 +43,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(load(spark, sf_dir, "documents"))
 
 
+@query()
+def op5_co_trained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 @query()
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = prefix_counts(load(spark, sf_dir, "documents"))
