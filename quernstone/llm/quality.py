@@ -127,6 +127,18 @@ def _odds(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
+def _sure_from(chance: np.ndarray, right: np.ndarray, sure: float) -> float:
+    """The least chance above which the judgements tried were right often enough; above 1 if none.
+
+    One more error than seen is assumed, so a few right judgements prove nothing.
+    """
+    order = np.argsort(-chance, kind="stable")
+    errors = np.cumsum(~right[order])
+    share = (errors + 1) / (np.arange(len(order)) + 3)
+    good = np.flatnonzero(share <= 1 - sure)
+    return max(0.5, float(chance[order[good[-1]]])) if len(good) else 2.0
+
+
 class QualityModel:
     """Two views, their combination, and the score below which a document is rejected."""
 
@@ -141,14 +153,15 @@ class QualityModel:
 
 def co_train(
     content: np.ndarray, page: np.ndarray, y: np.ndarray, pool_content: np.ndarray,
-    pool_page: np.ndarray, rounds: int = 5, each: int = 200, sure: float = 0.95,
-    lost: float = 0.002, least: int = 10, seed: int = 5,
+    pool_page: np.ndarray, rounds: int = 5, each: int = 200, sure: float = 0.98,
+    lost: float = 0.005, least: int = 10, seed: int = 5,
 ) -> QualityModel | None:
     """Fit on labelled rows and an unlabelled pool; None with under ``least`` rows of either class.
 
-    In each round a view gives the other at most ``each`` documents of each class with a
-    calibrated probability of ``sure`` or more. The threshold is 0.5, or lower where more than
-    ``lost`` of the held-out good documents would be rejected.
+    In each round a view gives the other at most ``each`` documents of each class of which
+    it is sure: above a probability from which on the share ``sure`` of its held-out judgements
+    was right. The threshold is 0.5, or lower, down to 0.1, where more than the share ``lost`` of the
+    held-out good documents would be rejected.
     """
     if min(y.sum(), (1 - y).sum()) < least:
         return None
@@ -169,9 +182,10 @@ def co_train(
             break
         given = []
         for i, other in ((0, 1), (1, 0)):
-            p = fitted[i].probability(pools[i])
-            for value, chance in ((1.0, p), (0.0, 1 - p)):
-                rows = np.flatnonzero((chance >= sure) & free[other])
+            p, q = fitted[i].probability(pools[i]), fitted[i].probability(views[i][held])
+            for value, chance, tried in ((1.0, p, q), (0.0, 1 - p, 1 - q)):
+                least_chance = _sure_from(tried, y[held] == value, sure)
+                rows = np.flatnonzero((chance >= least_chance) & free[other])
                 rows = rows[np.argsort(-chance[rows], kind="stable")][:each]
                 free[other][rows] = False
                 given.append((other, rows, value))
@@ -181,8 +195,8 @@ def co_train(
         taught.append([len(rows) for _, rows, _ in given])
     both = np.stack([_odds(fitted[i].probability(views[i][held])) for i in (0, 1)], axis=1)
     combined = View().fit(both, y[held], both, y[held])
-    good = combined.probability(both)[y[held] == 1]
-    threshold = min(0.5, float(np.quantile(good, lost, method="lower")))
+    good = np.sort(combined.probability(both)[y[held] == 1])
+    threshold = float(np.clip(good[min(len(good) - 1, max(1, int(lost * len(good))))], 0.1, 0.5))
     return QualityModel(*fitted, combined, threshold, taught)
 
 

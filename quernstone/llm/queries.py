@@ -10,13 +10,15 @@ from quernstone.llm.mixing import mix
 from quernstone.llm.near_duplicates import near_duplicates
 from quernstone.llm.packing import pack_documents
 from quernstone.llm.quality import classify_documents
-from quernstone.llm.registry import query
+from quernstone.llm.registry import ORACLES, QUERIES, query
 from quernstone.llm.secrets import find_secrets
 from quernstone.llm.token_counts import prefix_counts
 from quernstone.llm.token_matrices import token_matrices
 from quernstone.llm.vectors import exact_topk, nearest
 from quernstone.sources import load
 
+__all__ = ["ORACLES", "QUERIES"]
+
 
 @query()
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
