@@ -1,3 +1,3 @@
-from quernstone.functions.columns import cents, floor_micros, in_slice, micros
+from quernstone.functions.columns import exact_sum, floor_micros, hundredths, micros, shifted
 
-__all__ = ["cents", "floor_micros", "in_slice", "micros"]
+__all__ = ["exact_sum", "floor_micros", "hundredths", "micros", "shifted"]

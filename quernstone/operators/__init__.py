@@ -1,12 +1,20 @@
-from quernstone.operators.joins import asof_join, interval_counts, interval_join
+from quernstone.operators.joins import (
+    asof_join,
+    except_all,
+    intersect_all,
+    interval_counts,
+    interval_join,
+)
 from quernstone.operators.percentiles import exact_percentiles
 from quernstone.operators.sessions import funnel, sessionize
 from quernstone.operators.windows import sliding, top_k_per_key, trailing, tumbling
 
 __all__ = [
     "asof_join",
+    "except_all",
     "exact_percentiles",
     "funnel",
+    "intersect_all",
     "interval_counts",
     "interval_join",
     "sessionize",

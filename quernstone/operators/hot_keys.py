@@ -1,98 +1,60 @@
-"""Cut keys that hold many rows into consecutive time slices.
+"""Lay rows out in slices of bounded size, whatever their keys.
 
-A window per key puts one key into one task. Here the keys with many rows are
-found with a mergeable frequent-items sketch, and their rows are cut at
-quantiles of their own timestamps, so that every slice holds about the same
-number of rows however bursty the key is. Other keys stay whole (slice 0).
+A window per key puts one key into one task. Here rows are first dealt by range of
+(hash of the keys, order within a key), so that every slice has about the same
+number of rows: a small key lies in one slice with others, a hot key runs through as
+many slices as it needs. The windows then run per key and slice.
 
-The choice only lays out the work. Results never depend on it: whatever a slice
-needs from the time before it is handed over by the operators that use it.
+There is no threshold and no list of hot keys: every input is laid out the same way.
+Results never depend on where the cuts fall; whatever a slice needs from the time
+before it is handed over by the operators that use it.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.functions import in_slice, micros
-
-ROWS_PER_SLICE = 10_000_000  # rows one task sorts without trouble
-MAX_HOT_KEYS = 1_000  # at most this many rows reach the driver and the broadcast
-MAX_SLICES = 1_000  # per key, so the broadcast stays below 8 MB
-_TRACKED = 10_000  # items the sketch keeps
-_MERGERS = 256  # first-level sketch merges run in this many groups
+from quernstone.session import scratch
 
+ROWS_PER_SLICE = 1_000_000  # rows one task sorts without trouble
 
-@dataclass(frozen=True)
-class HotKeys:
-    """Slice bounds per hot key hash; ``bounds`` is None when no key is hot."""
 
-    bounds: DataFrame | None
-    most: int = 0
+def in_slices(
+    rows: DataFrame, keys: list[str], order: list[Column], rows_per_slice: int = ROWS_PER_SLICE
+) -> DataFrame:
+    """``rows`` as a written table with ``_slice``, which rises with ``order`` inside a key.
 
-    def attach(self, df: DataFrame, keys: list[str], ts: str | Column) -> DataFrame:
-        """Add ``_slice`` (rises with ``ts`` inside a key) and ``_hot``."""
-        if self.bounds is None:
-            return df.withColumns({"_slice": F.lit(0), "_hot": F.lit(False)})
-        return (
-            df.withColumn("_hash", F.xxhash64(*keys))
-            .join(F.broadcast(self.bounds), "_hash", "left")
-            .withColumn("_hot", F.col("_bounds").isNotNull())
-            .withColumn(
-                "_slice",
-                F.when(F.col("_hot"), in_slice(micros(ts), F.col("_bounds"), self.most)).otherwise(
-                    0
-                ),
-            )
-            .drop("_hash", "_bounds")
-        )
+    Rows equal in keys and ``order`` stay in one slice; add a distinguishing column to
+    ``order`` to have such ties cut too. Spark samples the rows to find the cuts, so
+    slices hold ``rows_per_slice`` on average and rarely twice that. The table is
+    written because every branch of a plan, and every retried task, must see the
+    same cuts; the input is computed for the sample, the count and the table.
+    """
+    spark = rows.sparkSession
+    n = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // rows_per_slice)
+    )
+    path = scratch(spark, "slices")
+    dealt = (
+        rows.repartitionByRange(n, F.xxhash64(*keys), *order)
+        .withColumn("_slice", F.spark_partition_id())
+    )
+    dealt.write.parquet(path)
+    return spark.read.schema(dealt.schema).parquet(path)
 
 
-def find_hot_keys(
-    df: DataFrame, keys: list[str], ts: str, rows_per_slice: int = ROWS_PER_SLICE
-) -> HotKeys:
-    """Keys with more than ``rows_per_slice`` rows, and where to cut them.
+def cut_keys(sliced: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of keys that lie in several slices: the only ones that need a hand-over.
 
-    Reads ``keys`` once. Sketches, not rows, are shuffled, and merged in two
-    levels so that no task receives one from every input split. A second pass
-    over the hot keys' timestamps runs only if there are any.
+    Neighbouring slices share at most one key, so the list of such keys is no longer
+    than the list of slices.
     """
-    spark = df.sparkSession
-    hashed = df.select(F.xxhash64(*keys).alias("_hash"), micros(ts).alias("_micros"))
-    hot = (
-        hashed.withColumn("_merger", F.spark_partition_id() % _MERGERS)
-        .groupBy("_merger")
-        .agg(F.expr(f"approx_top_k_accumulate(_hash, {_TRACKED})").alias("sketch"))
-        .groupBy(F.lit(True))  # unlike a global aggregate, no row for empty input
-        .agg(F.expr(f"approx_top_k_combine(sketch, {_TRACKED})").alias("sketch"))
-        .select(F.expr(f"approx_top_k_estimate(sketch, {MAX_HOT_KEYS})").alias("top"))
-        .select(F.inline("top"))
-        .filter(F.col("count") > rows_per_slice)
-        .collect()
-    )
-    if not hot:
-        return HotKeys(None)
-    # One grid of quantiles for all hot keys, fine enough for the largest; smaller
-    # keys use every `step`-th cut.
-    parts = min(MAX_SLICES, -(-max(row["count"] for row in hot) // rows_per_slice))
-    step = F.greatest(F.lit(1), F.floor(F.lit(parts * rows_per_slice) / F.col("n")))
-    only_hot = F.broadcast(
-        spark.createDataFrame([(row.item, row["count"]) for row in hot], "_hash bigint, n bigint")
-    )
-    bounds = (
-        hashed.join(only_hot, "_hash")
-        .groupBy("_hash", "n")
-        .agg(
-            F.percentile_approx(
-                "_micros", [i / parts for i in range(1, parts)] or [0.5], 10 * parts
-            ).alias("cuts")
-        )
-        .filter("cuts IS NOT NULL")
-        .select("_hash", F.filter("cuts", lambda _, i: (i + 1) % step == 0).alias("_bounds"))
-        .collect()
+    hashed = sliced.withColumn("_hash", F.xxhash64(*keys))
+    cut = (
+        hashed.groupBy("_hash")
+        .agg(F.min("_slice").alias("_low"), F.max("_slice").alias("_high"))
+        .filter("_low < _high")
+        .select("_hash")
     )
-    # Bounds are fixed here: every branch of a plan must cut at the same places.
-    rows = [tuple(row) for row in bounds]
-    return HotKeys(spark.createDataFrame(rows, "_hash bigint, _bounds array<bigint>"), parts)
+    return hashed.join(cut, "_hash", "left_semi").drop("_hash")

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quernstone.functions import floor_micros
-from quernstone.operators.hot_keys import ROWS_PER_SLICE, find_hot_keys
+from quernstone.operators.hot_keys import ROWS_PER_SLICE, cut_keys, in_slices
 
 _SEED, _RIGHT, _LEFT = 0, 1, 2
 
@@ -26,9 +26,8 @@ def asof_join(
 
     Keeps all left rows; right columns are NULL without a match. Among right rows
     with equal time, the greatest ``tie_break`` wins. The two sides are unioned
-    and scanned in time order, so both are shuffled once and no pairs are formed.
-    A hot key is scanned in slices, each started with a seed row: the last right
-    row before the slice.
+    and scanned in time order, in slices of bounded size; no pairs are formed. A slice
+    that continues a key starts with a seed row: the last right row before it.
     """
     ties = tie_break or []
     right = right.filter(
@@ -56,32 +55,28 @@ def asof_join(
             F.struct(*right_fields).alias("_r"),
         )
     )
-    hot = find_hot_keys(rows, by, "_t", rows_per_slice)
-    rows = hot.attach(rows, by, "_t")
-    if hot.bounds is not None:
-        rank = F.struct("_t", *[F.col(f"_r.{c}") for c in ties])
-        before = (
-            Window.partitionBy(*by)
-            .orderBy("_slice")
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        seeds = (
-            rows.filter("_hot")
-            .groupBy(*by, "_slice", "_hot")
-            .agg(F.max_by("_r", F.when(F.col("_side") == _RIGHT, rank)).alias("_r"))
-            .withColumn("_r", F.last("_r", ignorenulls=True).over(before))
-            .filter("_r IS NOT NULL")
-            .select(
-                *by,
-                F.lit(None).cast(left.schema[left_ts].dataType).alias("_t"),
-                F.lit(_SEED).alias("_side"),
-                F.lit(None).cast(left_type).alias("_l"),
-                "_r",
-                "_slice",
-                "_hot",
-            )
+    rank = [F.col("_t"), F.col("_side"), *[F.col(f"_r.{c}") for c in ties]]
+    # the counter also cuts rows that are equal in all of these
+    rows = rows.withColumn("_nth", F.monotonically_increasing_id())
+    rows = in_slices(rows, by, [*rank, F.col("_nth")], rows_per_slice).drop("_nth")
+    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    latest = F.struct("_t", *rank[2:])
+    seeds = (
+        cut_keys(rows, by)
+        .groupBy(*by, "_slice")
+        .agg(F.max_by("_r", F.when(F.col("_side") == _RIGHT, latest)).alias("_r"))
+        .withColumn("_r", F.last("_r", ignorenulls=True).over(before))
+        .filter("_r IS NOT NULL")
+        .select(
+            *by,
+            F.lit(None).cast(left.schema[left_ts].dataType).alias("_t"),
+            F.lit(_SEED).alias("_side"),
+            F.lit(None).cast(left_type).alias("_l"),
+            "_r",
+            "_slice",
         )
-        rows = rows.unionByName(seeds)
+    )
+    rows = rows.unionByName(seeds)
 
     upto = (
         Window.partitionBy(*by, "_slice")
@@ -147,68 +142,115 @@ def interval_counts(
 ) -> DataFrame:
     """Each left row with ``n_matches``: how many pairs ``interval_join`` makes with it.
 
-    Left rows must be distinct. No pairs are formed: the right rows of a key are
-    counted in time order, and the count is read where the interval opens and where
-    it closes. The work grows with the rows even where the pairs grow with their
-    square. A hot key is counted in slices that start from the total before them.
+    No pairs are formed: the right rows of a key are counted in time order, and the
+    count is read where a left row's interval opens and where it closes. The work
+    grows with the rows even where the pairs grow with their square. Each left row has a
+    number of its own, so equal rows keep their own counts. Rows are counted in slices
+    of bounded size; a slice that continues a key starts from the total before it.
     """
     right = right.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in [*by, right_ts]))
     columns = left.columns
-    none = F.lit(None).cast(T.StructType([left.schema[c] for c in columns]))
+    left_type = T.StructType([left.schema[c] for c in columns])
     opens = F.col(left_ts)
     closes = opens + F.expr(f"INTERVAL '{upper_seconds}' SECOND")
-    probes = left.select(
+    # both probes come from one row of one task, so they agree on its number
+    probes = left.withColumn("_nth", F.monotonically_increasing_id()).select(
         *by,
-        F.struct(*columns).alias("_l"),
-        F.lit(0).alias("_add"),
+        "_nth",
+        F.lit(0).cast("long").alias("_add"),
         F.lit(_LEFT).alias("_side"),
         F.inline(
             F.array(
-                F.struct(opens.alias("_t"), F.lit(-1).alias("_sign")),
-                F.struct(closes.alias("_t"), F.lit(1).alias("_sign")),
+                F.struct(
+                    opens.alias("_t"), F.lit(-1).alias("_sign"), F.struct(*columns).alias("_l")
+                ),
+                F.struct(
+                    closes.alias("_t"), F.lit(1).alias("_sign"), F.lit(None).cast(left_type).alias("_l")
+                ),
             )
         ),
     )
     rows = probes.unionByName(
         right.select(
             *by,
-            none.alias("_l"),
-            F.lit(1).alias("_add"),
+            F.monotonically_increasing_id().alias("_nth"),
+            F.lit(1).cast("long").alias("_add"),
             F.lit(_RIGHT).alias("_side"),
             F.col(right_ts).alias("_t"),
             F.lit(0).alias("_sign"),
+            F.lit(None).cast(left_type).alias("_l"),
         )
     )
-    hot = find_hot_keys(rows, by, "_t", rows_per_slice)
-    rows = hot.attach(rows, by, "_t").withColumn("_add", F.col("_add").cast("long"))
-    if hot.bounds is not None:
-        before = (
-            Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    rows = in_slices(rows, by, [F.col("_t"), F.col("_side"), F.col("_nth")], rows_per_slice)
+    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    seeds = (
+        cut_keys(rows, by)
+        .groupBy(*by, "_slice")
+        .agg(F.sum("_add").alias("_add"))
+        .withColumn("_add", F.sum("_add").over(before))
+        .filter("_add > 0")
+        .withColumns(
+            {
+                "_nth": F.lit(0).cast("long"),
+                "_l": F.lit(None).cast(left_type),
+                "_side": F.lit(_SEED),
+                "_t": F.lit(None).cast(left.schema[left_ts].dataType),
+                "_sign": F.lit(0),
+            }
         )
-        seeds = (
-            rows.filter("_hot")
-            .groupBy(*by, "_slice", "_hot")
-            .agg(F.sum("_add").alias("_add"))
-            .withColumn("_add", F.sum("_add").over(before))
-            .filter("_add > 0")
-            .withColumns(
-                {
-                    "_l": none,
-                    "_side": F.lit(_SEED),
-                    "_t": F.lit(None).cast(left.schema[left_ts].dataType),
-                    "_sign": F.lit(0),
-                }
-            )
-        )
-        rows = rows.unionByName(seeds)
+    )
     upto = (
         Window.partitionBy(*by, "_slice")
         .orderBy(F.col("_t").asc_nulls_first(), "_side")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    # only the opening probe carries the row; the closing one is narrow
     return (
-        rows.withColumn("_seen", F.sum("_add").over(upto))
+        rows.unionByName(seeds)
+        .withColumn("_seen", F.sum("_add").over(upto))
         .filter(F.col("_side") == _LEFT)
-        .groupBy(*[F.col(f"_l.{c}").alias(c) for c in columns])
-        .agg(F.sum(F.col("_seen") * F.col("_sign")).alias("n_matches"))
+        .groupBy("_nth")
+        .agg(
+            F.first("_l", ignorenulls=True).alias("_l"),
+            F.sum(F.col("_seen") * F.col("_sign")).alias("n_matches"),
+        )
+        .select("_l.*", "n_matches")
+    )
+
+
+def except_all(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of ``left`` as often as they are more there than in ``right``."""
+    return _by_counts(left, right, lambda l, r: F.greatest(l - r, F.lit(0).cast("long")))
+
+
+def intersect_all(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows as often as they are in both."""
+    return _by_counts(left, right, F.least)
+
+
+def _by_counts(left: DataFrame, right: DataFrame, copies, part: int = 100_000) -> DataFrame:
+    """Counts, with map-side combine, instead of rows; copies are emitted by many tasks.
+
+    A value's copies are first split into parts of bounded size, which are dealt
+    evenly before they become rows.
+    """
+    counted = (
+        left.withColumns({"_l": F.lit(1).cast("long"), "_r": F.lit(0).cast("long")})
+        .unionAll(right.withColumns({"_l": F.lit(0).cast("long"), "_r": F.lit(1).cast("long")}))
+        .groupBy(*left.columns)
+        .agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+        .withColumn("_n", copies(F.col("_l"), F.col("_r")))
+        .filter("_n > 0")
+    )
+    parts = counted.select(
+        *left.columns,
+        "_n",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / part))).alias("_part"),
+    )
+    size = F.least(F.lit(part).cast("long"), F.col("_n") - F.col("_part") * part)
+    dealt = parts.select(*left.columns, size.alias("_size")).repartition(
+        int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    )
+    return dealt.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_size"))).select(
+        *left.columns
     )

@@ -2,119 +2,77 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_, or_
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_ACCURACY = 10_000  # the sketch is off by at most n / _ACCURACY ranks
-_MARGIN = 4 / _ACCURACY
-_MAX_GROUPS = 10_000  # brackets of up to this many groups are broadcast
+from quernstone.operators.hot_keys import ROWS_PER_SLICE, in_slices
 
 
 def exact_percentiles(
-    df: DataFrame, keys: list[str], value: str, shares: dict[str, float]
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    shares: dict[str, float],
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Interpolated percentiles of non-NULL ``value``, one column per entry of ``shares``.
 
     Spark's own ``percentile`` keeps all distinct values of a group in one buffer.
-    Here a mergeable sketch first brackets each percentile. A second pass counts
-    what lies below the brackets, and the copies of each value inside one, with
-    map-side combine; only the distinct values inside are ordered. Small groups get
-    open brackets. If a bracket missed, the query would fail rather than return a
-    wrong value.
+    Here equal values are counted first, and the counts dealt by range of (keys, value)
+    into slices of bounded size. The counts of the slices before it tell a slice the
+    ranks of its values; whichever slice holds a wanted rank reports it. One plan for any
+    number of groups, also for none (``keys`` empty: one row, none without values).
     """
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    same = reduce(and_, [F.col(f"rows.{k}").eqNullSafe(F.col(f"ends.{k}")) for k in keys])
-    n = len(shares)
-
-    # -1, 0, 1: below, inside, above the bracket of each share
-    def side(i: int) -> Column:
-        return F.when(F.col("_v") < F.col(f"_lo{i}"), -1).when(F.col("_v") > F.col(f"_hi{i}"), 1).otherwise(0)
+    counted = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_copies"))
+    by = keys or ["_all"]
+    if not keys:
+        counted = counted.withColumn("_all", F.lit(0))
+    sliced = in_slices(counted, by, [F.col("_v")], rows_per_slice)
 
-    sides = [f"_side{i}" for i in range(n)]
-    inside_any = reduce(or_, [F.col(name) == 0 for name in sides])
-    counts = (
-        rows.alias("rows")
-        .join(_brackets(rows, keys, shares).alias("ends"), same)
-        .select(
-            *[F.col(f"rows.{k}") for k in keys],
-            "_v",
-            "_n",
-            *[side(i).alias(name) for i, name in enumerate(sides)],
-        )
-        .groupBy(*keys, "_n", *sides, F.when(inside_any, F.col("_v")).alias("_v"))
-        .agg(F.count("*").alias("_copies"))
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per group and slice: no more than groups and slices together
+    slices = (
+        sliced.groupBy(*by, "_slice")
+        .agg(F.sum("_copies").alias("_m"))
         .select(
-            *keys,
-            "_copies",
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(i).alias("_share"),
-                            ((F.col("_n") - 1) * F.lit(float(share))).alias("_rank"),
-                            F.when(F.col(f"_side{i}") == 0, F.col("_v")).alias("_v"),
-                            (F.col(f"_side{i}") <= 0).alias("_counts"),
-                        )
-                        for i, share in enumerate(shares.values())
-                    ]
-                )
-            ),
+            *[F.col(k).alias(f"_key{i}") for i, k in enumerate(by)],
+            F.col("_slice").alias("_of"),
+            F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_before"),
+            F.sum("_m").over(group).alias("_n"),
         )
-        .filter("_counts")
     )
-    # Rows below the bracket have no value, so they come first and only add to the count.
-    upto = Window.partitionBy(*keys, "_share").orderBy(F.col("_v").asc_nulls_first())
-    first, last = F.col("_end") - F.col("_copies"), F.col("_end") - 1
-
-    def value_at(rank: Column) -> Column:
-        return F.max(F.when(rank.between(first, last), F.col("_v")))
-
-    found = (
-        counts.withColumn("_end", F.sum("_copies").over(upto))
-        .groupBy(*keys, "_share")
-        .agg(
-            F.max("_rank").alias("_rank"),
-            value_at(F.floor("_rank")).alias("_below"),
-            value_at(F.ceil("_rank")).alias("_above"),
-        )
-    )
-    missed = F.col("_below").isNull() | F.col("_above").isNull()
-    exact = F.when(missed, F.raise_error(F.lit("percentile outside its bracket"))).otherwise(
-        F.col("_below") + (F.col("_above") - F.col("_below")) * (F.col("_rank") - F.floor("_rank"))
-    )
-    return found.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_share") == i, exact)).alias(name) for i, name in enumerate(shares)]
+    same = F.col("_slice") == F.col("_of")
+    for i, k in enumerate(by):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    upto = (
+        Window.partitionBy(*by, "_slice")
+        .orderBy("_v")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-
-
-def _brackets(rows: DataFrame, keys: list[str], shares: dict[str, float]) -> DataFrame:
-    """Per group the count _n and the bracket (_lo, _hi) of each share; a NULL end is open."""
-    points = [
-        min(1.0, max(0.0, share + side)) for share in shares.values() for side in (-_MARGIN, _MARGIN)
-    ]
-    found = rows.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.percentile_approx("_v", points, _ACCURACY).alias("_ends")
+    ranked = (
+        sliced.withColumn("_end", F.sum("_copies").over(upto))
+        .join(slices, same)
+        .withColumn("_end", F.col("_end") + F.col("_before"))
     )
-    large = F.col("_n") > _ACCURACY
-    ends = found.select(
+    first, last = F.col("_end") - F.col("_copies"), F.col("_end") - 1
+    picked = []
+    for i, share in enumerate(shares.values()):
+        rank = (F.col("_n") - 1) * F.lit(float(share))
+        for name, wanted in (("below", F.floor(rank)), ("above", F.ceil(rank))):
+            hit = F.when(wanted.between(first, last), F.col("_v"))
+            picked.append(F.max(hit).alias(f"_{name}{i}"))
+        picked.append(F.max(rank - F.floor(rank)).alias(f"_part{i}"))
+    found = ranked.groupBy(*by).agg(*picked)
+    return found.select(
         *keys,
-        "_n",
         *[
-            end
-            for i, share in enumerate(shares.values())
-            for end in (
-                F.when(large & F.lit(share > _MARGIN), F.get("_ends", F.lit(2 * i))).alias(f"_lo{i}"),
-                F.when(large & F.lit(share < 1 - _MARGIN), F.get("_ends", F.lit(2 * i + 1))).alias(
-                    f"_hi{i}"
-                ),
-            )
+            (
+                F.col(f"_below{i}")
+                + (F.col(f"_above{i}") - F.col(f"_below{i}")) * F.col(f"_part{i}")
+            ).alias(name)
+            for i, name in enumerate(shares)
         ],
     )
-    few = ends.limit(_MAX_GROUPS + 1).collect()
-    if len(few) > _MAX_GROUPS:
-        return ends
-    return F.broadcast(rows.sparkSession.createDataFrame(few, ends.schema))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quernstone.functions import floor_micros, micros
-from quernstone.operators.hot_keys import ROWS_PER_SLICE, find_hot_keys
+from quernstone.operators.hot_keys import ROWS_PER_SLICE, in_slices
 
 
 def _number_sessions(pieces: DataFrame, keys: list[str], gap_micros: int) -> DataFrame:
@@ -73,7 +73,7 @@ def funnel(
     """One row per session with ``steps_reached``: how many ``steps`` happen in order.
 
     Step i counts if it comes strictly after the first match of step i - 1. Events
-    are scanned in pieces (key, gap-wide cell, slice of a hot key). A piece says,
+    are scanned in pieces (key, gap-wide cell, slice). A piece says,
     for every number of steps already done, how many are done after it; such
     tables compose, so a session folds its few pieces instead of its events.
     """
@@ -82,12 +82,10 @@ def funnel(
     events = df.filter(F.col(ts).isNotNull()).select(
         *keys, F.col(ts).alias("_t"), F.col(step).alias("_step")
     )
-    hot = find_hot_keys(events, keys, "_t", rows_per_slice)
+    # cut by time alone: steps at one time must be seen together
     piece = [*keys, "_cell", "_slice"]
-    events = (
-        hot.attach(events, keys, "_t")
-        .drop("_hot")
-        .withColumn("_cell", floor_micros("_t", gap))
+    events = in_slices(events, keys, [F.col("_t")], rows_per_slice).withColumn(
+        "_cell", floor_micros("_t", gap)
     )
     # _m{a}_{b}: time at which step b is matched in this piece if a steps are done before it
     whole = Window.partitionBy(*piece)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.functions import cents
+from quernstone.functions import hundredths
 from quernstone.operators import (
     asof_join,
     funnel,
@@ -106,7 +106,7 @@ def view_click_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = load(spark, sf_dir, "events").select(
-        "event_id", "user_id", "ts", cents("value").alias("value")
+        "event_id", "user_id", "ts", hundredths("value").alias("value")
     )
     return trailing(
         events,
@@ -145,7 +145,7 @@ def sessionized(spark: SparkSession, sf_dir: str) -> DataFrame:
         ["user_id"],
         "ts",
         HOUR // 2,
-        {"total_value": cents("value")},
+        {"total_value": hundredths("value")},
     )
     return found.withColumn("total_value", F.col("total_value") / 100)
 
@@ -186,7 +186,7 @@ HOURLY_SQL = """
 @query(HOURLY_SQL)
 def hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = tumbling(
-        load(spark, sf_dir, "events"), "ts", "1 hour", {"total_value": cents("value")}
+        load(spark, sf_dir, "events"), "ts", "1 hour", {"total_value": hundredths("value")}
     )
     return counts.withColumn("total_value", F.col("total_value") / 100)
 
@@ -204,6 +204,6 @@ def sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ts",
         "1 hour",
         "15 minutes",
-        {"total_value": cents("value")},
+        {"total_value": hundredths("value")},
     )
     return counts.withColumn("total_value", F.col("total_value") / 100)

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.functions import cents
+from quernstone.functions import exact_sum, hundredths, shifted
+from quernstone.operators import except_all, intersect_all
 from quernstone.plans.registry import query
 from quernstone.sources import load
 
@@ -33,7 +34,9 @@ def star_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_order = (
         load(spark, sf_dir, "lineitem")
         .groupBy("l_orderkey")
-        .agg(F.sum(cents("l_extendedprice") * (100 - cents("l_discount"))).alias("revenue"))
+        .agg(
+            F.sum(hundredths("l_extendedprice") * (100 - hundredths("l_discount"))).alias("revenue")
+        )
     )
     places = (
         load(spark, sf_dir, "customer")
@@ -45,9 +48,12 @@ def star_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
         load(spark, sf_dir, "orders")
         .select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("o_year"))
         .join(per_order, F.col("o_orderkey") == F.col("l_orderkey"))
+        # one row per customer and year meets the customers, not one per order
+        .groupBy("o_custkey", "o_year")
+        .agg(exact_sum(F.col("revenue")).alias("revenue"))
         .join(places, F.col("o_custkey") == F.col("c_custkey"))
         .groupBy("r_name", "n_name", "o_year")
-        .agg((F.sum("revenue") / 10_000).alias("revenue"))
+        .agg(shifted(F.sum("revenue"), 4).alias("revenue"))
     )
 
 
@@ -119,7 +125,7 @@ def nation_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def nation_except_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = _nations(spark, sf_dir, "customer", "c_nationkey")
-    return customers.exceptAll(_nations(spark, sf_dir, "supplier", "s_nationkey"))
+    return except_all(customers, _nations(spark, sf_dir, "supplier", "s_nationkey"))
 
 
 @query(
@@ -130,4 +136,4 @@ def nation_except_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def nation_intersect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = _nations(spark, sf_dir, "customer", "c_nationkey")
-    return customers.intersectAll(_nations(spark, sf_dir, "supplier", "s_nationkey"))
+    return intersect_all(customers, _nations(spark, sf_dir, "supplier", "s_nationkey"))

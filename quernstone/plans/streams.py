@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.functions import cents
+from quernstone.functions import hundredths
 from quernstone.operators import interval_join
 from quernstone.plans.events import HOUR, HOURLY_SQL, SESSIONS_CTE, VIEW_CLICK_SQL, of_type
 from quernstone.plans.registry import query
@@ -16,6 +16,7 @@ from quernstone.sources import load_stream
 from quernstone.streaming import (
     dedup_stream,
     run_append,
+    run_to_end,
     run_update,
     running_totals,
     stream_sessions,
@@ -33,18 +34,19 @@ def _without_zone(df: DataFrame, *columns: str) -> DataFrame:
 
 
 @query(
-    f"""
-    SELECT * FROM ({HOURLY_SQL})
-    WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
-    """
+    HOURLY_SQL
 )
 def stream_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = stream_tumbling(
-        _events(spark, sf_dir), "ts", "1 hour", "1 hour", {"total_value": cents("value")}
+    counts = run_to_end(
+        _events(spark, sf_dir),
+        "ts",
+        lambda events: stream_tumbling(
+            events, "ts", "1 hour", "1 hour", {"total_value": hundredths("value")}
+        ),
+        "hourly",
     )
     return _without_zone(
-        run_append(counts, "hourly").withColumn("total_value", F.col("total_value") / 100),
-        "window_start",
+        counts.withColumn("total_value", F.col("total_value") / 100), "window_start"
     )
 
 
@@ -53,12 +55,16 @@ def stream_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     + """
     SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n_events
     FROM numbered GROUP BY user_id, session
-    HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
     """
 )
 def stream_session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = stream_sessions(_events(spark, sf_dir), ["user_id"], "ts", "30 minutes", "1 hour")
-    return _without_zone(run_append(found, "sessions"), "session_start", "session_end")
+    found = run_to_end(
+        _events(spark, sf_dir),
+        "ts",
+        lambda events: stream_sessions(events, ["user_id"], "ts", "30 minutes", "1 hour"),
+        "sessions",
+    )
+    return _without_zone(found, "session_start", "session_end")
 
 
 @query("SELECT event_id, ts, user_id, event_type, value, props FROM events")

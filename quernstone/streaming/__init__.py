@@ -1,12 +1,12 @@
-from quernstone.streaming.dedup import dedup_stream, drop_batch_copies
-from quernstone.streaming.run import run_append, run_update
+from quernstone.streaming.dedup import dedup_stream
+from quernstone.streaming.run import run_append, run_to_end, run_update
 from quernstone.streaming.totals import running_totals
 from quernstone.streaming.windows import stream_sessions, stream_tumbling
 
 __all__ = [
     "dedup_stream",
-    "drop_batch_copies",
     "run_append",
+    "run_to_end",
     "run_update",
     "running_totals",
     "stream_sessions",

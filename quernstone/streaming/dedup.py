@@ -2,38 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def drop_batch_copies(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Keep the first row per key of each Arrow batch: a stateless pre-pass.
+def dedup_stream(df: DataFrame, keys: list[str], ts: str, delay: str) -> DataFrame:
+    """One row per key, as long as copies are at most ``delay`` apart in ``ts``.
 
-    If one event is repeated millions of times, its copies would all be shuffled
-    to the task that keeps its state. After this they are at most one per Arrow
-    batch (spark.sql.execution.arrow.maxRecordsPerBatch rows).
+    Nothing thins the rows before the watermark: of a late and a timely copy the
+    late one must not win, and dropped copies must still move the watermark on.
     """
-
-    def first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            number = pa.array(np.arange(rows.num_rows))
-            first = (
-                rows.select(keys)
-                .append_column("_row", number)
-                .group_by(keys)
-                .aggregate([("_row", "min")])["_row_min"]
-            )
-            yield from rows.take(first.combine_chunks().sort()).to_batches()
-
-    return df.mapInArrow(first_rows, df.schema)
-
-
-def dedup_stream(df: DataFrame, keys: list[str], ts: str, delay: str) -> DataFrame:
-    """One row per key, as long as copies are at most ``delay`` apart in ``ts``."""
-    return (
-        drop_batch_copies(df, keys).withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
-    )
+    return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)

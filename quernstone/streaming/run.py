@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,38 @@ _STREAM_SETTINGS = {
 
 def run_append(df: DataFrame, label: str) -> DataFrame:
     """Write final rows to Parquet. The file sink's log makes a retried batch harmless."""
-    spark = df.sparkSession
+    base = scratch(df.sparkSession, label)
+    _append(df, base)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{base}/out")
+
+
+def run_to_end(
+    events: DataFrame, ts: str, build: Callable[[DataFrame], DataFrame], label: str
+) -> DataFrame:
+    """All rows of ``build(events)`` in append mode, also of windows open at the end.
+
+    A second source, empty at first, is part of the stream. When all events are
+    read, it gets one row without values in the far future, and the stream goes on
+    from its checkpoint: the watermark passes every window but that row's own, which stays
+    open and so never reaches the result. The checkpoint is for this bounded run
+    only; events added later would all be late.
+    """
+    spark = events.sparkSession
     base = scratch(spark, label)
+    spark.createDataFrame([], events.schema).write.parquet(f"{base}/last")
+    last = spark.readStream.schema(events.schema).parquet(f"{base}/last")
+    df = build(events.unionByName(last))
+    _append(df, base)
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema if f.name != ts]
+    future = F.lit("9000-01-01").cast("timestamp").alias(ts)
+    row = spark.range(1).select(future, *nothing).select(*events.columns)
+    row.write.mode("append").parquet(f"{base}/last")
+    _append(df, base)
+    return spark.read.schema(df.schema).parquet(f"{base}/out")
+
+
+def _append(df: DataFrame, base: str) -> None:
+    spark = df.sparkSession
     with settings(spark, **_STREAM_SETTINGS):
         query = (
             df.writeStream.format("parquet")
@@ -32,7 +64,6 @@ def run_append(df: DataFrame, label: str) -> DataFrame:
             .start()
         )
         query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
 def run_update(df: DataFrame, label: str, keys: list[str]) -> DataFrame:

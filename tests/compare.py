@@ -29,8 +29,10 @@ def duck(sf_dir: str | Path) -> duckdb.DuckDBPyConnection:
 
 
 def _value(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
+    if v is None:
         return None
+    if isinstance(v, float) and math.isnan(v):
+        return ("NaN",)  # equal to itself, not to NULL
     if isinstance(v, (bool, int, str)):
         return v
     if isinstance(v, float):

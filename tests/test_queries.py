@@ -6,17 +6,19 @@ import pytest
 
 import __spark_entry__ as contract
 from compare import difference, rows_of
+from quernstone.plans import REGISTRY
 from quernstone.sources import load
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_matches_sql(spark, sf_dir, con, name):
     df = contract.queries()[name](spark, sf_dir)
     assert difference(df, con, contract.oracle_sql()[name]) == ""
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(REGISTRY) <= set(contract.oracle_sql())
+    assert set(REGISTRY) <= set(contract.queries())
 
 
 def test_entry(spark):
@@ -49,3 +51,29 @@ def test_comparison_is_a_multiset():
     assert rows_of(["a"], [(1,), (1,)]) != rows_of(["a"], [(1,)])
     assert rows_of(["b", "a"], [(1, 2)]) == rows_of(["a", "b"], [(2, 1)])
     assert rows_of(["a"], [(0.1 + 0.2,)]) != rows_of(["a"], [(0.3,)])
+
+
+def test_null_is_not_nan():
+    assert rows_of(["a"], [(None,)]) != rows_of(["a"], [(float("nan"),)])
+    assert rows_of(["a"], [(float("nan"),)]) == rows_of(["a"], [(float("nan"),)])
+
+
+def test_distinct_customers_are_counted_not_rows(spark, sf_dir, tmp_path):
+    """Every customer twice: twice the orders, as many customers."""
+    customers = load(spark, sf_dir, "customer")
+    customers.unionAll(customers).write.parquet(str(tmp_path / "customer.parquet"))
+    (tmp_path / "orders.parquet").symlink_to(f"{sf_dir}/orders.parquet")
+    once = REGISTRY["segment_distinct"].run(spark, sf_dir).collect()
+    twice = REGISTRY["segment_distinct"].run(spark, str(tmp_path)).collect()
+    assert sorted((r[0], 2 * r[1], r[2]) for r in once) == sorted(map(tuple, twice))
+
+
+def test_events_of_other_types_are_counted(spark, tmp_path):
+    from datetime import datetime
+
+    rows = [(i, datetime(2024, 1, 1), 1, kind, 1.0, "{}")
+            for i, kind in enumerate(["view", "refund", None, "other", "click"])]
+    schema = load(spark, "/root/testdata/sf0.001", "events").schema
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "events.parquet"))
+    (row,) = REGISTRY["user_event_pivot"].run(spark, str(tmp_path)).collect()
+    assert (row.n_view, row.n_click, row.n_other, row.n_error) == (1, 1, 3, 0)

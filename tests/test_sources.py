@@ -39,6 +39,26 @@ def test_malformed_csv_fails(spark, tmp_path):
         ingest_csv(spark, str(tmp_path / "in.csv"), str(tmp_path / "out"), "id int, name string", "GBK")
 
 
+def test_text_outside_the_charset_is_not_written(spark, tmp_path):
+    for text in ("x😀y", "ñ", "two\nlines"):
+        df = spark.createDataFrame([(1, text)], "id int, t string")
+        with pytest.raises(Exception):
+            write_csv(df, str(tmp_path / "csv"), "GBK")
+    write_csv(df.select("id"), str(tmp_path / "csv"), "GBK")
+
+
+def test_bytes_of_another_charset_fail(spark, tmp_path):
+    (tmp_path / "in.csv").write_bytes(b"id,name\n1,\xff\xfe\x81\n")
+    with pytest.raises(Exception, match="unreadable bytes"):
+        ingest_csv(spark, str(tmp_path / "in.csv"), str(tmp_path / "out"), "id int, name string", "GBK")
+
+
+def test_other_header_fails(spark, tmp_path):
+    (tmp_path / "in.csv").write_bytes(b"b,a\n1,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        ingest_csv(spark, str(tmp_path / "in.csv"), str(tmp_path / "out"), "a int, b int", "GBK")
+
+
 def test_csv_bytes_are_gbk(spark, tmp_path):
     df = spark.createDataFrame([("标准",)], "t string").coalesce(1)
     write_csv(df, str(tmp_path / "csv"), "GBK")

@@ -7,13 +7,15 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.functions import cents
+from quernstone.functions import hundredths
 from quernstone.operators import interval_join, tumbling
+from quernstone.plans import REGISTRY
+from quernstone.session import settings
 from quernstone.sources import load, load_stream
 from quernstone.streaming import (
     dedup_stream,
-    drop_batch_copies,
     run_append,
+    run_to_end,
     run_update,
     running_totals,
     stream_sessions,
@@ -84,7 +86,7 @@ def test_late_event_is_dropped_and_open_window_kept_back(feed):
 
 
 def test_hourly_over_four_batches_equals_batch(spark, sf_dir, event_files):
-    sums = {"total": cents("value")}
+    sums = {"total": hundredths("value")}
     streamed = run_append(stream_tumbling(event_files(), "ts", "1 hour", "1 hour", sums), "hours")
     batch = tumbling(load(spark, sf_dir, "events"), "ts", "1 hour", sums).withColumn(
         "window_start", F.col("window_start").cast("timestamp")
@@ -120,14 +122,44 @@ def test_dedup_within_and_across_batches(feed):
     assert sorted(r.event_id for r in found.collect()) == [1, 2, 3]
 
 
-def test_batch_copies_prepass_keeps_one_row_per_key(spark):
-    df = spark.createDataFrame(
-        [(1, "a"), (1, "a"), (None, "a"), (None, "a"), (2, None)], "k int, t string"
-    ).coalesce(1)
-    got = drop_batch_copies(df, ["k"]).collect()
-    assert sorted((r.k or 0, r.t or "") for r in got) == [(0, "a"), (1, "a"), (2, "")]
-    hot = spark.range(0, 100_000, 1, 4).select(F.lit(7).alias("k"))
-    assert drop_batch_copies(hot, ["k"]).count() <= 4 * 4
+@pytest.mark.parametrize("rows_per_arrow_batch", ["1", "10000"])
+def test_late_copy_does_not_displace_a_timely_one(spark, feed, rows_per_arrow_batch):
+    stream = feed(
+        [event(1, 0), event(2, 300)],
+        [event(3, 310)],  # the watermark is at 240 and more from here on
+        [event(50, 5), event(50, 320)],
+        [event(99, 400)],
+    )
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=rows_per_arrow_batch):
+        found = run_append(dedup_stream(stream, ["event_id"], "ts", "1 hour"), "dedup")
+        assert sorted(r.event_id for r in found.collect()) == [1, 2, 3, 50, 99]
+
+
+def test_run_to_end_returns_open_windows(feed):
+    stream = feed(
+        [event(1, 5), event(2, 30)],
+        [event(3, 190)],
+        [event(4, 195)],
+        [event(5, 20), event(6, 150), event(7, 200)],  # 5 is late, 6 is not
+        [event(8, 400)],
+    )
+    found = run_to_end(
+        stream, "ts", lambda e: stream_tumbling(e, "ts", "1 hour", "1 hour", {}), "to-end"
+    )
+    got = sorted((r.window_start, r.n) for r in found.collect())
+    assert got == [(T0 + timedelta(hours=h), n) for h, n in ((0, 2), (2, 1), (3, 3), (6, 1))]
+
+
+def test_sessions_to_the_end_over_four_batches(spark, sf_dir, event_files, con):
+    found = run_to_end(
+        event_files(), "ts",
+        lambda e: stream_sessions(e, ["user_id"], "ts", "30 minutes", "1 hour"), "sessions",
+    )
+    expected = con.sql(REGISTRY["stream_session_windows"].sql).fetchall()
+    assert found.count() == len(expected)
+    assert sorted(r.session_end.replace(tzinfo=None) for r in found.collect()) == sorted(
+        r[2] for r in expected
+    )
 
 
 @pytest.mark.parametrize("seconds, pairs", [(600, 6), (6 * 3600, 246)])
