@@ -8,11 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.functions import hundredths
+from quernstone.functions import hundredths, micros
 from quernstone.operators import interval_join
 from quernstone.plans.events import HOUR, HOURLY_SQL, SESSIONS_CTE, VIEW_CLICK_SQL, of_type
 from quernstone.plans.registry import query
-from quernstone.sources import load_stream
+from quernstone.session import scratch
+from quernstone.sources import load, load_stream
 from quernstone.streaming import (
     dedup_stream,
     run_append,
@@ -50,6 +51,45 @@ def stream_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_QUARTERS, _FILES = 4, 4  # batches, and files of each
+
+
+@query(HOURLY_SQL)
+def stream_hourly_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four bounded batches in time order, the last with copies of all events of the first.
+
+    The watermark has closed their hours by then, so they must be dropped; rows out of
+    order within a batch must not.
+    """
+    events = load(spark, sf_dir, "events")
+    low, high = events.agg(F.min(micros("ts")), F.max(micros("ts"))).first()
+    if low is None:
+        low, high = 0, 0
+    quarter = F.least(
+        F.floor((micros("ts") - low) * _QUARTERS / F.lit(max(1, high - low))), F.lit(_QUARTERS - 1)
+    )
+    numbered = events.withColumn("quarter", quarter)
+    folder = scratch(spark, "events-in-batches")
+    for i in range(_QUARTERS):  # written one after the other: the source reads by age
+        batch = numbered.where(F.col("quarter") == i)
+        if i == _QUARTERS - 1:
+            batch = batch.unionAll(numbered.where(F.col("quarter") == 0))
+        batch.drop("quarter").repartition(_FILES).write.parquet(f"{folder}/batch={i}")
+    span = max(1, (high - low) // 1_000_000)
+    counts = run_to_end(
+        load_stream(spark, f"{folder}/*", "events", files_per_batch=_FILES),
+        "ts",
+        # Spark drops what the batch before the last one has closed: all of the first quarter
+        lambda stream: stream_tumbling(
+            stream, "ts", "1 hour", f"{span // 8} seconds", {"total_value": hundredths("value")}
+        ),
+        "hourly-late",
+    )
+    return _without_zone(
+        counts.withColumn("total_value", F.col("total_value") / 100), "window_start"
+    )
+
+
 @query(
     SESSIONS_CTE.format(gap="30 MINUTE")
     + """
