@@ -100,6 +100,7 @@ def interval_join(
     right_ts: str,
     upper_seconds: int,
     cells: int = 1,
+    salts: int = 1,
 ) -> DataFrame:
     """Pairs of the same ``by`` with ``left_ts < right_ts <= left_ts + upper_seconds``.
 
@@ -108,16 +109,23 @@ def interval_join(
     partners can lie in, so each pair is met once and a key's rows are spread over
     time. A pair can only be rejected by the time test if its rows are less than
     one cell too far apart. Works for batch sides and for streams with watermarks.
+
+    A stream has no adaptive splitting of a hot (key, cell): with ``salts``, its left rows are
+    dealt to that many tasks by their time, and right rows are offered to all of them.
     """
     width = -(-upper_seconds * 1_000_000 // cells)
-    keys = [*by, "_cell"]
+    keys = [*by, "_cell", "_salt"]
     clash = (set(left.columns) & set(right.columns)) - set(by)
     if clash:
         raise ValueError(f"columns on both sides: {sorted(clash)}")
     last = floor_micros(right_ts, width)
-    l = left.withColumn("_cell", floor_micros(left_ts, width)).alias("l")
+    salt = F.pmod(F.xxhash64(left_ts), F.lit(salts)).cast("int") if salts > 1 else F.lit(0)
+    l = left.withColumns({"_cell": floor_micros(left_ts, width), "_salt": salt}).alias("l")
     r = right.withColumn(
         "_cell", F.explode(F.sequence(last - cells * width, last, F.lit(width)))
+    )
+    r = r.withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))) if salts > 1 else F.lit(0)
     ).alias("r")
     match = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]
     match.append(F.col(right_ts) > F.col(left_ts))

@@ -180,8 +180,8 @@ def test_asof_empty_sides(spark):
 # --- interval join ----------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("cells", [1, 3, 7])
-def test_interval_join_equals_brute_force(spark, cells):
+@pytest.mark.parametrize("cells, salts", [(1, 1), (3, 1), (7, 3), (1, 5)])
+def test_interval_join_equals_brute_force(spark, cells, salts):
     rows = skewed_rows()
     l = spark.createDataFrame(rows, SKEWED).select("key", F.col("id").alias("a"), F.col("ts").alias("ats"))
     r = spark.createDataFrame(rows, SKEWED).select("key", F.col("id").alias("b"), F.col("ts").alias("bts"))
@@ -189,7 +189,7 @@ def test_interval_join_equals_brute_force(spark, cells):
     expected = sorted(
         (x[0], y[0]) for x in rows for y in rows if x[1] == y[1] and x[2] < y[2] <= x[2] + limit
     )
-    found = interval_join(l, r, ["key"], "ats", "bts", 100, cells)
+    found = interval_join(l, r, ["key"], "ats", "bts", 100, cells, salts)
     assert sorted((p.a, p.b) for p in found.collect()) == expected
 
 
