@@ -24,7 +24,7 @@ from quernstone.llm.common import unused, written
 
 BANDS, ROWS = 32, 4
 #: Documents of a group that one task compares.
-BLOCK = 256
+BLOCK = 512
 _KEPT_WORDS = 400_000
 _U32, _U64 = np.uint32, np.uint64
 #: Odd multipliers that scatter bits well, and the seeds of the word hash.
@@ -249,6 +249,57 @@ def components(links: DataFrame, label: str) -> DataFrame:
             return labels
 
 
+def _comparisons(member: DataFrame, block: int) -> DataFrame:
+    """Which members of a bucket (``key, n, doc_id, component``) meet in which block ``key, x, y``.
+
+    Only buckets with several components are left to compare, and in them only pairs
+    of different components: members of the most frequent component meet the others,
+    not each other. A bucket of up to ``block`` members is one block. In a larger one,
+    the others are dealt to blocks, which meet each other and the blocks of the
+    most frequent component; a member goes to as many blocks as it has partners for.
+    """
+    per = member.groupBy("key", "component").agg(F.count("*").alias("m"))
+    mixed = (
+        per.groupBy("key")
+        .agg(F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("kinds"))
+        .where("kinds > 1")
+        .select("key", F.col("top.component").alias("most"), F.col("top.m").alias("n_most"))
+    )
+    zero = F.lit(0).cast("long")
+    parts = lambda n: F.ceil(n / block).cast("long")
+    placed = (
+        member.join(mixed, "key")
+        .withColumn("others", F.when(F.col("n") > block, parts(F.col("n") - F.col("n_most"))))
+        .withColumn("own", F.pmod(F.xxhash64("doc_id"), F.when(
+            F.col("component") == F.col("most"), parts(F.col("n_most"))).otherwise(F.col("others"))))
+    )
+    one = F.struct(zero.alias("x"), zero.alias("y"), F.lit(0).alias("side"))
+    own, others = F.col("own"), F.col("others")
+    of_most = F.transform(
+        F.sequence(zero, others - 1),
+        lambda i: F.struct(i.alias("x"), (others + own).alias("y"), F.lit(1).alias("side")),
+    )
+    of_other = F.concat(
+        F.transform(
+            F.sequence(zero, others - 1),
+            lambda i: F.struct(
+                F.least(own, i).alias("x"), F.greatest(own, i).alias("y"),
+                F.when(own <= i, 0).otherwise(1).alias("side"),
+            ),
+        ),
+        F.transform(
+            F.sequence(zero, parts(F.col("n_most")) - 1),
+            lambda j: F.struct(own.alias("x"), (others + j).alias("y"), F.lit(0).alias("side")),
+        ),
+    )
+    places = (
+        F.when(F.col("n") <= block, F.array(one))
+        .when(F.col("component") == F.col("most"), of_most)
+        .otherwise(of_other)
+    )
+    return placed.select("key", "doc_id", "component", F.inline(places))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
     percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK,
@@ -324,18 +375,7 @@ def near_duplicates(
         .join(first, "doc_id", "left")
         .select("key", "n", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     )
-    mixed = member.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")
-    )
-    member = member.join(mixed.where("low <> high").select("key"), "key", "left_semi")
-    blocks = F.ceil(F.col("n") / block)
-    own = F.pmod(F.xxhash64("doc_id"), blocks)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
-    spread = member.withColumn("own", own).withColumn("other", other)
-    spread = spread.select(
-        "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
-        F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "doc_id", "component",
-    )
+    spread = _comparisons(member, block)
     more = written(
         spread.join(at_hand, "doc_id")
         .groupBy("key", "x", "y")
