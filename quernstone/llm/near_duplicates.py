@@ -25,6 +25,8 @@ from quernstone.llm.common import unused, written
 BANDS, ROWS = 32, 4
 #: Documents of a group that one task compares.
 BLOCK = 512
+#: Places of the filter that spares texts without candidates the shuffle (2 MB when broadcast).
+_FILTER = 1 << 23
 _KEPT_WORDS = 400_000
 _U32, _U64 = np.uint32, np.uint64
 #: Odd multipliers that scatter bits well, and the seeds of the word hash.
@@ -249,6 +251,31 @@ def components(links: DataFrame, label: str) -> DataFrame:
             return labels
 
 
+def _perhaps_in(texts: DataFrame, needed: DataFrame) -> DataFrame:
+    """``texts`` without most rows whose doc_id is not in ``needed``, before any shuffle.
+
+    A bitmap of ``_FILTER`` hashed places, so of bounded size, is joined as a table of
+    64-bit words. It lets every needed row through, and others only by chance; the
+    more ids there are, the more others, up to all.
+    """
+    def word(place):
+        return F.shiftright(place, 6)
+
+    def bit(place):
+        return F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(_FILTER))
+    bitmap = needed.groupBy(word(place).alias("word")).agg(F.bit_or(bit(place)).alias("mask"))
+    return (
+        texts.where("doc_id IS NOT NULL")
+        .withColumn("place", place)
+        .withColumn("word", word(F.col("place")))
+        .join(F.broadcast(bitmap), "word")
+        .where(F.col("mask").bitwiseAND(bit(F.col("place"))) != 0)
+        .select("doc_id", "text")
+    )
+
+
 def _comparisons(member: DataFrame, block: int) -> DataFrame:
     """Which members of a bucket (``key, n, doc_id, component``) meet in which block ``key, x, y``.
 
@@ -334,19 +361,21 @@ def near_duplicates(
     )
     copies = written(copies.distinct(), "copies")
 
-    keyed = classes.select("doc_id", F.explode("bands").alias("key")).distinct()
+    keyed = classes.select("doc_id", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(
         F.count("*").alias("n"), F.min("doc_id").alias("leader"),
-        F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("who"),
+        F.bit_xor(F.xxhash64("doc_id")).alias("who"),
     ).where("n > 1")
     # bands whose buckets have the same members say the same: one of them goes on
     buckets = buckets.groupBy("n", "leader", "who").agg(F.min("key").alias("key"))
     members = written(
         keyed.join(buckets.select("key", "n", "leader"), "key"), "bucket-members"
     )
+    # an inner join stays above the filter, where a semi join would be moved below it; a
+    # merge join because the ids grow with the documents
     needed = members.select("doc_id").distinct()
     at_hand = written(
-        texts.where("doc_id IS NOT NULL").join(needed, "doc_id", "left_semi"), "bucket-texts"
+        _perhaps_in(texts, needed).join(needed.hint("merge"), "doc_id"), "bucket-texts"
     )
 
     # every member with its leaders; large groups in parts, each with the leader
