@@ -158,13 +158,20 @@ class LogBilinear:
             out[part] = top + np.log(np.exp(z - top[:, None]).sum(axis=1, dtype="f8"))
         return out
 
-    def log_probabilities(self, far, near, word) -> np.ndarray:
-        """Natural logarithms; each distinct context is normalized once."""
-        distinct, at = np.unique(far.astype("i8") * (self.n + 1) + near, return_inverse=True)
-        norms = self.log_norms(distinct // (self.n + 1), distinct % (self.n + 1))
+    def known_norms(self) -> np.ndarray:
+        """Room for the logarithm of every context's sum: 8 MB for 1,024 words."""
+        return np.full((self.n + 1) ** 2, np.nan)
+
+    def log_probabilities(self, far, near, word, known: np.ndarray | None = None) -> np.ndarray:
+        """Natural logarithms; each distinct context is normalized once, and kept in ``known``."""
+        known = self.known_norms() if known is None else known
+        context = far.astype("i8") * (self.n + 1) + near
+        distinct = np.unique(context)
+        new = distinct[np.isnan(known[distinct])]
+        known[new] = self.log_norms(new // (self.n + 1), new % (self.n + 1))
         score = np.einsum("ij,ij->i", self.predicted(far, near), self.p["target"][word])
         score += self.p["bias"][word]
-        return score.astype("f8") - norms[at]
+        return score.astype("f8") - known[context]
 
     def vector(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.p.values()])
@@ -302,7 +309,7 @@ def score_documents(
 
     def score(batches):
         c_of, ids, model = handed.value
-        rows = row_ids()
+        rows, norms = row_ids(), model.known_norms()
         for batch in batches:
             doc_ids, flags = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             texts, at = batch.column(1), 0
@@ -328,7 +335,7 @@ def score_documents(
                     size += len(tokens)
                     at += 1
                 far, near, word = contexts(group, model.n)
-                logs = model.log_probabilities(far, near, word) / np.log(10)
+                logs = model.log_probabilities(far, near, word, norms) / np.log(10)
                 starts = np.cumsum([0, *[len(g) for g in group[:-1]]])
                 for row, own in zip(out, np.add.reduceat(logs, starts), strict=True):
                     row[6] += float(own)
