@@ -27,7 +27,7 @@ BANDS, ROWS = 32, 4
 BLOCK = 512
 #: Places of the filter that spares texts without candidates the shuffle (2 MB when broadcast).
 _FILTER = 1 << 23
-_KEPT_WORDS = 400_000
+_KEPT_WORDS = 100_000
 _U32, _U64 = np.uint32, np.uint64
 #: Odd multipliers that scatter bits well, and the seeds of the word hash.
 _MIX64 = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
