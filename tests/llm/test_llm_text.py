@@ -83,6 +83,55 @@ def test_network_finds_secrets_without_the_rules_words():
     assert secrets.train(known[:3], other) is None
 
 
+def test_network_judges_whole_runs_and_what_rules_leave():
+    rng = random.Random(2)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    word = lambda: "".join(rng.choice("aeionrst") for _ in range(rng.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    path = lambda n: "".join(f"/{word()}" for _ in range(n))
+    key = lambda n=32: "".join(rng.choice(letters) for _ in range(n))
+    known, other = [], []
+    for _ in range(300):
+        text = f"{prose(8)} password={key()} {prose(8)}"
+        known += [secrets.window(text, v, b) for _, _, b, v in secrets.base_spans(text)]
+        text = f"{prose(8)} //host.example.com{path(rng.randint(3, 16))} {prose(4)}"
+        other += [w for a, b in secrets.candidates(text, [])
+                  for _, w in secrets.cut(secrets.window(text, a, b))]
+    model = secrets.train(known, other)
+
+    def found(text):
+        base = secrets.base_spans(text)
+        runs, parts = secrets.split_runs(text, base)
+        spans = [(a, b, secrets.window(text, a, b)) for a, b in runs + parts]
+        return base, secrets.judged_spans(model, spans, most=7)
+
+    whole = rest = 0
+    for _ in range(100):
+        k = key()
+        text = f"{prose(3)} //host.example.com{path(5)}/{k}{path(9)} {prose(3)}"
+        at = text.index(k)
+        # the key lies beyond the first and last 24 characters of its run
+        whole += any(a <= at and at + 32 <= b for run in found(text)[1] for a, b, _ in run)
+        text = f"{prose(3)} {'0123456789abcdef' * 2}{key()} {prose(3)}"
+        base, spans = found(text)
+        assert [kind for _, kind, _, _ in base] == [2]
+        rest += any(b > base[0][2] for run in spans for _, b, _ in run)
+    clean = [found(f"{prose(3)} //host.example.com{path(14)} {prose(3)}")[1] for _ in range(100)]
+    assert whole > 90 and rest > 90
+    assert sum(any(runs) for runs in clean) < 20
+
+
+def test_long_candidates_are_cut_without_gaps():
+    text = "".join(chr(97 + i % 26) for i in range(331))
+    for end in (16, 48, 49, 64, 65, 200, 331):
+        around = secrets.window(text, 0, end)
+        cuts = secrets.cut(around)
+        assert all(len(w) == secrets.WIDTH for _, w in cuts)
+        seen = {at + i for at, _ in cuts for i in range(secrets.INSIDE)}
+        assert set(range(end)) <= seen
+        assert all(b - a <= secrets.STEP for (a, _), (b, _) in zip(cuts, cuts[1:], strict=False))
+
+
 def test_gradients_of_the_network():
     rng = np.random.default_rng(0)
     x, y, w = rng.integers(0, 100, (4, secrets.WIDTH)), np.array([0, 1, 1, 0.0]), np.ones(4)
