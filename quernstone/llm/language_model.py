@@ -2,11 +2,13 @@
 
 The next word's vector is predicted as a sum of the two previous words' vectors, each
 weighted by its place; a word scores by the product with its own vector plus a bias.
-The model's words are the most frequent ones, the end of a text, and one class for
-all others, inside which words share the mass by their counts. Training never
-normalizes: it tells the true next words from noise words, on all training texts at
-once (every task trains on its own texts; parameters are averaged each round). Scoring
-normalizes exactly, by one matrix product over the distinct contexts of a batch.
+Every word has a vector as context and one as target. The first level tells the end of a
+text, the most frequent words, and classes apart; inside a class its members are told apart:
+further words, and slots that the rarest words share by hash, inside which they share the mass
+by their counts. Training never normalizes: on either level it tells the true next word from
+noise, on all training texts at once (every task trains on its own texts; parameters are
+averaged each round). Scoring normalizes exactly, over the first level for the distinct contexts
+of a batch, and over the members of the word's class.
 
 Word counts cover all training texts. A bounded number of frequent words is handed to
 every task; the counts of the others are joined to the texts that hold them.
@@ -14,6 +16,7 @@ every task; the counts of the others are joined to the texts that hold them.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -23,11 +26,12 @@ from pyspark.sql import functions as F
 
 from quernstone.llm.common import row_ids, written
 
-#: Frequent words every task knows (about 3 MB), and words that the model predicts.
+#: Frequent words every task knows (about 3 MB), and entries of the model's first level.
 FREQUENT, MODEL = 200_000, 1_024
+#: Classes (at most a quarter of the first level), and the members that they hold at most
+#: together: words of their own, and slots shared by hash. Both grow with the words found.
+CLASSES, OWN, SHARED = 256, 32_768, 32_768
 END = b"\n"  # no word holds white space
-#: Ids of the model: the end of a text, any word without an id of its own.
-_END, _RARE = 0, 1
 _DISTINCT = 500_000  # words that a task counts before it passes them on
 _TOKENS = 500_000  # tokens trained or scored together
 
@@ -95,83 +99,225 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
+def _log_sums(z: np.ndarray) -> np.ndarray:
+    """Logarithm of each row's sum of exp(z); ``z`` is used up."""
+    top = z.max(axis=1) if z.size and not -60 < z.min() <= z.max() < 60 else None
+    if top is not None:
+        z -= top[:, None]
+    np.exp(z, out=z)
+    sums = np.log((z @ np.ones(z.shape[1], z.dtype)).astype("f8"))
+    return sums if top is None else top + sums
+
+
+class Units(dict):
+    """The unit of every word: frequent ones by table, any other shares a slot by its hash.
+
+    Units are the single words of the first level, then the members, class by class.
+    """
+
+    def __init__(self, table: dict[bytes, int], heads: int, own: int, shared: int, classes: int):
+        super().__init__(table)
+        self.heads, self.own, self.shared, self.classes = heads, own, shared, classes
+        self.slots = -(-(own + shared) // classes)
+
+    def member(self, m):
+        """The members are dealt to the classes in turn."""
+        return self.heads + m % self.classes * self.slots + m // self.classes
+
+    def slot(self, word: bytes) -> int:
+        return zlib.crc32(word) % self.shared
+
+    def __missing__(self, word: bytes) -> int:
+        return self.member(self.own + self.slot(word))
+
+
 class LogBilinear:
-    """Parameters in ``p``; contexts are the two previous ids, ``n`` standing for no word."""
+    """Parameters in ``p``; contexts are the units of the two previous words, ``units`` standing for no word.
 
-    def __init__(self, unigram: np.ndarray, size: int = 16, seed: int = 3):
+    ``unigram`` weighs the first level, whose last entries are the classes, ``inside`` (a row for
+    each class) their members; a weight of 0 is no member.
+    """
+
+    def __init__(
+        self, unigram: np.ndarray, size: int = 16, seed: int = 3, inside: np.ndarray | None = None
+    ):
         rng = np.random.default_rng(seed)
-        n = len(unigram)
+        inside = np.zeros((0, 1)) if inside is None else inside
+        n, (classes, self.slots) = len(unigram), inside.shape
         self.n, self.size, self.unigram = n, size, unigram / unigram.sum()
+        self.heads, self.units = n - classes, n - classes + inside.size
+        self.inside = (inside / inside.sum(axis=1, keepdims=True)).ravel()
+        with np.errstate(divide="ignore"):
+            self.log_inside = np.maximum(np.log(self.inside), -1e4).astype("f4")
+        context = rng.normal(0, 0.1, (self.units + 1, size)).astype("f4")
+        context[self.heads : self.units] = 0  # what members have in common is in "rest"
         self.p = {
-            "context": rng.normal(0, 0.1, (n + 1, size)).astype("f4"),
+            "context": context,
+            "rest": rng.normal(0, 0.1, size).astype("f4"),
             "near": np.full(size, 0.5, "f4"),
             "far": np.full(size, 0.25, "f4"),
             "target": rng.normal(0, 0.1, (n, size)).astype("f4"),
             "bias": np.log(self.unigram).astype("f4"),
+            # inside a class all start at their weights; the last column is the bias
+            "member": np.concatenate(
+                [np.zeros((inside.size, size)), self.log_inside[:, None]], axis=1
+            ).astype("f4"),
         }
 
-    def predicted(self, far: np.ndarray, near: np.ndarray) -> np.ndarray:
-        r, p = self.p["context"], self.p
-        return r[far] * p["far"] + r[near] * p["near"]
+    def first(self, unit: np.ndarray) -> np.ndarray:
+        """Entry of the first level: the word itself, or the member's class."""
+        return np.where(unit < self.heads, unit, self.heads + (unit - self.heads) // self.slots)
+
+    def _is_member(self, unit: np.ndarray) -> np.ndarray:
+        return ((unit >= self.heads) & (unit < self.units)).astype("f4")[:, None]
 
-    def _scatter(self, rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-        return np.stack([np.bincount(rows, values[:, d], n) for d in range(self.size)], axis=1)
+    def looked_up(self, unit: np.ndarray) -> np.ndarray:
+        return self.p["context"][unit] + self._is_member(unit) * self.p["rest"]
 
-    def train(self, far, near, word, rng, noise: int = 128, batch: int = 8_192, rate: float = 0.05):
-        """One pass of noise-contrastive estimation; the words of a batch share their noise words."""
-        squares = {k: np.full(v.shape, 1e-6) for k, v in self.p.items()}
+    def predicted(self, far: np.ndarray, near: np.ndarray) -> np.ndarray:
+        return self.looked_up(far) * self.p["far"] + self.looked_up(near) * self.p["near"]
+
+    @staticmethod
+    def _scatter(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+        return np.stack([np.bincount(rows, values[:, d], n) for d in range(values.shape[1])], axis=1)
+
+    def _noise_members(self, rng, each: int = 512) -> np.ndarray:
+        """For every class a row of members drawn by weight."""
+        classes = len(self.inside) // self.slots
+        ends = np.cumsum(self.inside).reshape(classes, -1)[:, -1:]
+        at = ends - 1 + rng.random((classes, each))
+        drawn = np.searchsorted(np.cumsum(self.inside), at, side="right")
+        first = np.arange(classes)[:, None] * self.slots
+        drawn = np.clip(drawn, first, first + self.slots - 1)
+        # rounding may lead to an empty place: the first member is never one
+        return np.where(self.inside[drawn] > 0, drawn, first)
+
+    def train(
+        self, far, near, word, rng, noise: int = 128, batch: int = 8_192, rate: float = 0.05,
+        member_noise: int = 4,
+    ):
+        """One pass of noise-contrastive estimation.
+
+        On the first level the words of a batch share their noise words; inside the classes
+        every word has noise members of its own.
+        """
+        squares = {k: np.full(v.shape, 1e-6, "f4") for k, v in self.p.items()}
         cumulated, share = np.cumsum(self.unigram), np.log(noise * self.unigram).astype("f4")
+        members = self._noise_members(rng) if len(self.inside) else None
+        member_share = self.log_inside + np.float32(np.log(member_noise))
+        place = np.empty(max(self.units + 1, len(self.inside)), "i8")
+        p = self.p
+
+        def step(key, rows, g):
+            square = squares[key][rows] + g * g
+            squares[key][rows] = square
+            p[key][rows] += rate * g / np.sqrt(square)
+
+        def sparse(key, rows, values, m):
+            """Only the rows that a batch touches change."""
+            seen = np.zeros(len(p[key]), bool)
+            seen[rows] = True
+            touched = np.flatnonzero(seen)
+            place[touched] = np.arange(len(touched))
+            step(key, touched, (self._scatter(place[rows], values, len(touched)) / m).astype("f4"))
+
         for at in range(0, len(word), batch):
             f, n, w = far[at : at + batch], near[at : at + batch], word[at : at + batch]
             drawn = np.minimum(np.searchsorted(cumulated, rng.random(noise)), self.n - 1)
-            p, q, m = self.p, self.predicted(f, n), len(w)
+            rf, rn, c, m = self.looked_up(f), self.looked_up(n), self.first(w), len(w)
+            q = rf * p["far"] + rn * p["near"]
             # log of model score over (noise words x noise probability)
             gain = p["bias"] - share
-            true = np.einsum("ij,ij->i", q, p["target"][w]) + gain[w]
+            true = np.einsum("ij,ij->i", q, p["target"][c]) + gain[c]
             false = q @ p["target"][drawn].T + gain[drawn]
             up = _sigmoid(-true)  # wants the true word higher
             down = _sigmoid(false)  # and the noise lower
-            dq = up[:, None] * p["target"][w] - down @ p["target"][drawn]
-            r = p["context"]
+            dq = up[:, None] * p["target"][c] - down @ p["target"][drawn]
+            inner = np.flatnonzero(w >= self.heads)
+            if len(inner):
+                own = w[inner] - self.heads
+                others = members[
+                    (own // self.slots)[:, None],
+                    rng.integers(0, members.shape[1], (len(own), member_noise)),
+                ]
+                asked = np.concatenate([own[:, None], others], axis=1)
+                t = p["member"][asked]
+                q1 = np.concatenate([q[inner], np.ones((len(inner), 1), "f4")], axis=1)
+                z = np.matmul(t, q1[:, :, None])[:, :, 0] - member_share[asked]
+                pull = -_sigmoid(z)
+                pull[:, 0] += 1
+                dq[inner] += np.matmul(pull[:, None, :], t)[:, 0, :-1]
             g = {
-                "target": self._scatter(w, up[:, None] * q, self.n),
-                "bias": np.bincount(w, up, self.n),
-                "far": (dq * r[f]).sum(0),
-                "near": (dq * r[n]).sum(0),
-                "context": self._scatter(f, dq * p["far"], self.n + 1)
-                + self._scatter(n, dq * p["near"], self.n + 1),
+                "target": self._scatter(c, up[:, None] * q, self.n),
+                "bias": np.bincount(c, up, self.n),
+                "far": (dq * rf).sum(0),
+                "near": (dq * rn).sum(0),
+                "rest": (self._is_member(f) * dq).sum(0) * p["far"]
+                + (self._is_member(n) * dq).sum(0) * p["near"],
             }
             np.subtract.at(g["target"], drawn, down.T @ q)
             np.subtract.at(g["bias"], drawn, down.sum(0))
+            both = np.concatenate([dq * p["far"], dq * p["near"]])
+            sparse("context", np.concatenate([f, n]), both, m)
+            if len(inner):
+                moves = (pull[:, :, None] * q1[:, None, :]).reshape(-1, self.size + 1)
+                sparse("member", asked.ravel(), moves, m)
             for k, v in g.items():
-                v /= m
-                squares[k] += v * v
-                p[k] += (rate * v / np.sqrt(squares[k])).astype("f4")
+                step(k, slice(None), (v / m).astype("f4"))
 
-    def log_norms(self, far: np.ndarray, near: np.ndarray, block: int = 2_048) -> np.ndarray:
-        """Logarithm of the sum over all words of exp(score), per context."""
+    def log_norms(self, far: np.ndarray, near: np.ndarray, block: int = 512) -> np.ndarray:
+        """Logarithm of the sum over the first level of exp(score), per context."""
         out = np.empty(len(far))
+        turned = np.concatenate([self.p["target"].T, self.p["bias"][None]])
+        q = np.ones((len(far), self.size + 1), "f4")
+        q[:, :-1] = self.predicted(far, near)
         for at in range(0, len(far), block):
-            part = slice(at, at + block)
-            z = self.predicted(far[part], near[part]) @ self.p["target"].T + self.p["bias"]
-            top = z.max(axis=1)
-            out[part] = top + np.log(np.exp(z - top[:, None]).sum(axis=1, dtype="f8"))
+            out[at : at + block] = _log_sums(q[at : at + block] @ turned)
         return out
 
     def known_norms(self) -> np.ndarray:
-        """Room for the logarithm of every context's sum: 8 MB for 1,024 words."""
-        return np.full((self.n + 1) ** 2, np.nan)
+        """Room for the logarithm of the sum of contexts without members: 5 MB for 768 words."""
+        return np.full((self.heads + 1) ** 2, np.nan)
+
+    def _norms(self, far: np.ndarray, near: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Per token; each distinct context is normalized once, and kept in ``known`` without members."""
+        f, n = (np.where(u == self.units, self.heads, u).astype("i8") for u in (far, near))
+        often = ((far < self.heads) | (far == self.units)) & (
+            (near < self.heads) | (near == self.units)
+        )
+        out = np.empty(len(far))
+        context = (f * (self.heads + 1) + n)[often]
+        distinct, at = np.unique(context, return_index=True)
+        new = np.isnan(known[distinct])
+        known[distinct[new]] = self.log_norms(far[often][at[new]], near[often][at[new]])
+        out[often] = known[context]
+        rest = np.flatnonzero(~often)
+        _, at, back = np.unique(
+            far[rest].astype("i8") * (self.units + 1) + near[rest],
+            return_index=True, return_inverse=True,
+        )
+        out[rest] = self.log_norms(far[rest][at], near[rest][at])[back]
+        return out
 
     def log_probabilities(self, far, near, word, known: np.ndarray | None = None) -> np.ndarray:
-        """Natural logarithms; each distinct context is normalized once, and kept in ``known``."""
+        """Natural logarithms: of the entry of the first level, and of the member in its class."""
         known = self.known_norms() if known is None else known
-        context = far.astype("i8") * (self.n + 1) + near
-        distinct = np.unique(context)
-        new = distinct[np.isnan(known[distinct])]
-        known[new] = self.log_norms(new // (self.n + 1), new % (self.n + 1))
-        score = np.einsum("ij,ij->i", self.predicted(far, near), self.p["target"][word])
-        score += self.p["bias"][word]
-        return score.astype("f8") - known[context]
+        c = self.first(word)
+        q = self.predicted(far, near)
+        score = np.einsum("ij,ij->i", q, self.p["target"][c])
+        score += self.p["bias"][c]
+        out = score.astype("f8") - self._norms(far, near, known)
+        inner = np.flatnonzero(word >= self.heads)
+        inner = inner[np.argsort(c[inner], kind="stable")]
+        cuts = np.searchsorted(c[inner], np.arange(self.heads, self.n + 1))
+        for k, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            t = self.p["member"][k * self.slots : (k + 1) * self.slots]
+            for at in range(low, high, 2_048):
+                rows = inner[at : min(at + 2_048, high)]
+                z = q[rows] @ t[:, :-1].T + t[:, -1]
+                mine = z[np.arange(len(rows)), word[rows] - self.heads - k * self.slots]
+                out[rows] += mine.astype("f8") - _log_sums(z)
+        return out
 
     def vector(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.p.values()])
@@ -183,8 +329,8 @@ class LogBilinear:
             at += v.size
 
 
-def model_ids(tokens: list[bytes], ids: dict[bytes, int]) -> list[int]:
-    return [ids.get(t, _RARE) for t in tokens]
+def model_ids(tokens: list[bytes], ids: Units) -> list[int]:
+    return [ids[t] for t in tokens]
 
 
 def contexts(texts: list[list[int]], start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,8 +361,8 @@ def _gathered(batches, ids, column: int = 0):
 
 
 def train_model(
-    texts: DataFrame, ids: dict[bytes, int], unigram: np.ndarray, rounds: int = 2, seed: int = 3,
-    chunk: int = 4_096,
+    texts: DataFrame, ids: Units, unigram: np.ndarray, inside: np.ndarray, rounds: int = 2,
+    seed: int = 3, chunk: int = 4_096,
 ) -> LogBilinear:
     """Average of what all tasks learn from their own texts, round by round.
 
@@ -224,47 +370,90 @@ def train_model(
     bring the tasks to a common start, from which the last round goes over every text. A task's parameters come back in chunks; Spark adds them up, weighted by tokens, so the
     driver receives one set of parameters however many tasks there are.
     """
-    model = LogBilinear(unigram, seed=seed)
+    model = LogBilinear(unigram, seed=seed, inside=inside)
+    handed = texts.sparkSession.sparkContext.broadcast(ids)
     for number in range(rounds):
-        def learn(batches, number=number, start=model):
-            own = LogBilinear(unigram, seed=seed)
-            own.put(start.vector())
+        start = texts.sparkSession.sparkContext.broadcast(model)
+
+        def learn(batches, number=number, start=start):
+            ids, own = handed.value, LogBilinear(unigram, seed=seed, inside=inside)
+            own.put(start.value.vector())
             rng, tokens = np.random.default_rng(seed + number), 0
             for group in _gathered(batches, ids):
-                far, near, word = contexts(group, own.n)
+                far, near, word = contexts(group, own.units)
                 order = rng.permutation(len(word))
                 own.train(far[order], near[order], word[order], rng)
                 tokens += len(word)
                 if number < rounds - 1:
                     break
-            flat = own.vector().astype("f8") * tokens
+            flat = own.vector().astype("f4")
             starts = list(range(0, len(flat), chunk)) if tokens else []
             yield pa.RecordBatch.from_arrays(
                 [pa.array(starts, pa.int64()), pa.array([tokens] * len(starts), pa.int64()),
-                 pa.array([flat[s : s + chunk].tolist() for s in starts], pa.list_(pa.float64()))],
+                 pa.array([flat[s : s + chunk].tobytes() for s in starts], pa.binary())],
                 names=["start", "tokens", "part"],
             )
 
         learned = texts.select("text").mapInArrow(
-            learn, "start long, tokens long, part array<double>"
+            learn, "start long, tokens long, part binary"
         )
 
         def added(key, pdf):
-            pdf = pdf.sort_values("tokens", kind="stable")
-            total = np.sum(np.stack(pdf["part"]), axis=0) / pdf["tokens"].sum()
-            return pdf.iloc[:1].assign(part=[total])
+            pdf = pdf.sort_values(["tokens", "part"], kind="stable")
+            total = sum(
+                np.frombuffer(part, "f4").astype("f8") * tokens
+                for part, tokens in zip(pdf["part"], pdf["tokens"], strict=True)
+            )
+            mean = (total / pdf["tokens"].sum()).astype("f4")
+            return pdf.iloc[:1].assign(part=[mean.tobytes()])
 
         rows = (
             learned.groupBy("start")
-            .applyInPandas(added, "start long, tokens long, part array<double>")
+            .applyInPandas(added, "start long, tokens long, part binary")
             .collect()
         )
         if not rows:
             break
-        model.put(np.concatenate([r["part"] for r in sorted(rows, key=lambda r: r["start"])]))
+        rows.sort(key=lambda r: r["start"])
+        model = LogBilinear(unigram, seed=seed, inside=inside)
+        model.put(np.concatenate([np.frombuffer(r["part"], "f4") for r in rows]))
     return model
 
 
+def units_of(
+    counts: DataFrame, known: list[tuple[bytes, int]], c_end: int, types: int, vocabulary: int
+) -> tuple[Units, np.ndarray, np.ndarray, np.ndarray]:
+    """Units, weights of the first level and of the members, and log10 of every slot's weight.
+
+    Weights are add-one counts; a slot has one share more for the words never seen.
+    """
+    ranked = [k for k in known if k[0] != END]
+    classes = max(1, min(CLASSES, vocabulary // 4))
+    heads = ranked[: max(0, vocabulary - 1 - classes)]
+    own = ranked[len(heads) : len(heads) + OWN]
+    left = types - (c_end > 0) - len(heads) - len(own)
+    shared = min(SHARED, max(1, left))
+    units = Units({}, 1 + len(heads), len(own), shared, min(classes, len(own) + shared))
+    # the order of frequent_words
+    beyond = F.col("word") != F.lit(END)
+    if heads or own:
+        word, c = (heads + own)[-1]
+        beyond &= (F.col("c") < c) | ((F.col("c") == c) & (F.col("word") > F.lit(word)))
+    slots = np.ones(shared)
+    slot = (F.crc32("word") % shared).alias("slot")
+    for r in counts.where(beyond).groupBy(slot).agg((F.sum("c") + F.count("*")).alias("w")).collect():
+        slots[r["slot"]] += r["w"]
+    members = np.zeros(units.classes * units.slots)
+    weights = np.array([*[c + 1 for _, c in own], *slots], "f8")
+    members[units.member(np.arange(len(weights))) - units.heads] = weights
+    inside = members.reshape(units.classes, units.slots)
+    single = np.array([c_end + 1, *[c + 1 for _, c in heads]], "f8")
+    units.update({w: units[w] for w, _ in ranked[len(heads) + len(own) :]})
+    units.update({w: units.member(m) for m, (w, _) in enumerate(own)})
+    units.update({w: i for i, (w, _) in enumerate([(END, 0), *heads])})
+    return units, np.concatenate([single, inside.sum(axis=1)]), inside, np.log10(slots)
+
+
 def score_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held=held_out,
     frequent: int = FREQUENT, vocabulary: int = MODEL, rounds: int = 2,
@@ -283,23 +472,21 @@ def score_documents(
     )
     learn_from = texts.where(~F.col("held_out"))
     counts = written(word_counts(learn_from), "word-counts")
-    n, v = counts.agg(F.sum("c"), F.count("*")).first()
-    n = n or 0
+    end = F.sum(F.when(F.col("word") == F.lit(END), F.col("c")))
+    n, v, c_end = counts.agg(F.sum("c"), F.count("*"), end).first()
+    n, c_end = n or 0, c_end or 0
     known = frequent_words(counts, frequent)
     c_of = dict(known)
-    ids = {END: _END} | {w: i for i, (w, _) in enumerate(
-        [k for k in known if k[0] != END][: vocabulary - 2], 2)}
-    own = sum(c_of.get(w, 0) for w in ids)
-    rare_types = v - sum(w in c_of for w in ids)
-    unigram = np.ones(len(ids) + 1)
-    for w, i in ids.items():
-        unigram[i] += c_of.get(w, 0)
-    unigram[_RARE] += n - own
-    # inside the class of rare words: add-one, with one share for the unseen
-    inside = np.log10(n - own + rare_types + 1)
+    if n:
+        c_of[END] = c_end
+    ids, unigram, inside, slots = units_of(counts, known, c_end, v, vocabulary)
     outside = np.log10(n + v + 1)
-    model = train_model(learn_from, ids, unigram, rounds) if n else LogBilinear(unigram)
-    handed = docs.sparkSession.sparkContext.broadcast((c_of, ids, model))
+    model = (
+        train_model(learn_from, ids, unigram, inside, rounds)
+        if n
+        else LogBilinear(unigram, inside=inside)
+    )
+    handed = docs.sparkSession.sparkContext.broadcast((c_of, ids, slots, model))
 
     fields = [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()),
               ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()),
@@ -308,8 +495,11 @@ def score_documents(
     arrow = pa.schema(fields)
 
     def score(batches):
-        c_of, ids, model = handed.value
+        c_of, ids, slots, model = handed.value
         rows, norms = row_ids(), model.known_norms()
+        unit_slot = np.full(model.units, -1)  # of units that words share
+        shared = np.arange(ids.shared)
+        unit_slot[ids.member(ids.own + shared)] = shared
         for batch in batches:
             doc_ids, flags = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             texts, at = batch.column(1), 0
@@ -321,20 +511,21 @@ def score_documents(
                     seen = np.array([c for c in found if c is not None], "f8")
                     others = Counter(t for t, c in zip(tokens, found, strict=True) if c is None)
                     coded = model_ids(tokens, ids)
-                    rare = [c for c, i in zip(found, coded, strict=True)
-                            if i == _RARE and c is not None]
-                    left = len(tokens) - len(seen)
+                    # inside a slot: add-one, with one share for the unseen
+                    slot = unit_slot[coded]
+                    rare = [c for c, i in zip(found, slot, strict=True)
+                            if i >= 0 and c is not None]
                     out.append([
                         next(rows), doc_ids[at], flags[at], len(tokens), len(seen),
                         float(np.log10(seen + 1).sum()) - len(tokens) * outside,
                         float(np.log10(np.array(rare, "f8") + 1).sum())
-                        - (len(rare) + left) * inside,
+                        - float(slots[slot[slot >= 0]].sum()),
                         [{"word": w, "times": k} for w, k in others.items()],
                     ])
                     group.append(coded)
                     size += len(tokens)
                     at += 1
-                far, near, word = contexts(group, model.n)
+                far, near, word = contexts(group, model.units)
                 logs = model.log_probabilities(far, near, word, norms) / np.log(10)
                 starts = np.cumsum([0, *[len(g) for g in group[:-1]]])
                 for row, own in zip(out, np.add.reduceat(logs, starts), strict=True):

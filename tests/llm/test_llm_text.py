@@ -192,6 +192,42 @@ def test_language_model_is_normalized_and_learns(spark, sf_dir):
     assert far.tolist() == [9, 9, 9, 9, 9, 2] and near.tolist() == [9, 1, 9, 9, 2, 3]
 
 
+def test_words_beyond_the_first_level_have_vectors(spark):
+    # 60 pairs of words; of the 20 entries of the first level 14 are words
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"c{j} t{j}" for j in rng.choices(range(60), k=200))) for i in range(600)]
+    free = iter(i for i in range(10_000, 20_000) if held(i))
+    pairs = [(next(free), next(free), j, (j + 1) % 60) for j in range(60)]
+    rows += [(a, f"c{j} t{j} c{k} t{k}") for a, _, j, k in pairs]
+    rows += [(b, f"c{j} t{k} c{k} t{j}") for _, b, j, k in pairs]
+    docs = documents(spark, rows).coalesce(1)
+    got = {r.doc_id: r for r in language_model.score_documents(docs, vocabulary=20).collect()}
+    assert all(got[a].base_score == pytest.approx(got[b].base_score) for a, b, *_ in pairs)
+    # the same words; only vectors of their own tell which follows which
+    better = [got[a].score - got[b].score for a, b, *_ in pairs]
+    assert sum(d > 0 for d in better) >= 55
+
+
+def test_both_levels_are_normalized(spark):
+    words = {b"w%d" % i: 1 + i % 7 for i in range(300)}
+    counts = spark.createDataFrame([(bytearray(w), c) for w, c in words.items()] +
+                                   [(bytearray(b"\n"), 50)], "word binary, c long")
+    known = sorted(((w, c) for w, c in [*words.items(), (b"\n", 50)]), key=lambda r: (-r[1], r[0]))
+    for some in (known, known[:100], []):
+        ids, unigram, inside, slots = language_model.units_of(counts, some, 50, 301, 40)
+        total = sum(c + 1 for c in words.values()) + 51 + len(slots)
+        assert unigram.sum() == pytest.approx(total) == pytest.approx(inside.sum() + unigram[:ids.heads].sum())
+        model = language_model.LogBilinear(unigram, inside=inside)
+        model.put(model.vector() + np.random.default_rng(1).normal(0, 0.3, len(model.vector())))
+        assert len({ids[w] for w in dict(some)}) == len(some) or not some
+        units = np.array([u for u in range(model.units) if u < ids.heads or model.inside[u - ids.heads]])
+        for far, near in ((model.units, model.units), (0, units[-1]), (units[-1], 1)):
+            one = np.ones_like(units)
+            p = np.exp(model.log_probabilities(far * one, near * one, units))
+            padding = 1 - p.sum()
+            assert abs(padding) < 1e-4
+
+
 def test_language_model_without_texts(spark):
     assert language_model.score_documents(documents(spark, [])).collect() == []
     only_held = next(i for i in range(100) if held(i))
