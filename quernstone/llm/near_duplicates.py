@@ -362,12 +362,7 @@ def near_duplicates(
     copies = written(copies.distinct(), "copies")
 
     keyed = classes.select("doc_id", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(
-        F.count("*").alias("n"), F.min("doc_id").alias("leader"),
-        F.bit_xor(F.xxhash64("doc_id")).alias("who"),
-    ).where("n > 1")
-    # bands whose buckets have the same members say the same: one of them goes on
-    buckets = buckets.groupBy("n", "leader", "who").agg(F.min("key").alias("key"))
+    buckets = _buckets(keyed)
     members = written(
         keyed.join(buckets.select("key", "n", "leader"), "key"), "bucket-members"
     )
@@ -419,6 +414,21 @@ def near_duplicates(
     )
 
 
+def _buckets(keyed: DataFrame) -> DataFrame:
+    """``key, n, leader`` of one bucket of each set of members, of those with more than one.
+
+    Bands whose buckets have the same members say the same. The halves of the members' hashes
+    are added up, as a doc_id that stands twice in a bucket would cancel in an exclusive or.
+    """
+    who = F.xxhash64("doc_id")
+    buckets = keyed.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("doc_id").alias("leader"),
+        F.sum(F.shiftrightunsigned(who, 32)).alias("upper"),
+        F.sum(who.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))).alias("lower"),
+    ).where("n > 1")
+    return buckets.groupBy("n", "leader", "upper", "lower").agg(F.min("key").alias("key"))
+
+
 def deduplicated(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, **options
 ) -> DataFrame:

@@ -47,6 +47,13 @@ def brute_components(rows, size, percent=80):
     return {i: top(i) for i in root}
 
 
+def test_buckets_with_repeated_ids_stay_apart(spark):
+    members = {1: [1, 5, 5], 2: [1, 7, 7], 3: [2, 3], 4: [3, 2], 5: [9], 6: [1, 5, 7]}
+    rows = [(d, k) for k, ids in members.items() for d in ids]
+    got = near_duplicates._buckets(spark.createDataFrame(rows, "doc_id long, key long")).collect()
+    assert sorted((r.key, r.n, r.leader) for r in got) == [(1, 3, 1), (2, 3, 1), (3, 2, 2), (6, 3, 1)]
+
+
 def check_near(spark, rows, size=4, **options):
     df = documents(spark, rows)
     got = near_duplicates.near_duplicates(df, size=size, **options).collect()
