@@ -176,16 +176,19 @@ def nearest(
     that of one forest over the whole table.
 
     Vectors of length zero take no part either. Of equal vectors only the ``k + 1``
-    smallest ids are indexed: by the rule for ties no query returns another. Ties go to
+    smallest distinct ids are indexed, each at most ``k`` times: by the rule for ties no
+    query returns another. Ties go to
     the smaller id; a query never meets its own id; empty tables give no rows.
     """
     rows, asked, size = _prepared(
         vectors.where(_length("v") > 0), queries.where(_length("v") > 0),
         lambda x: x.cast("double"), "forest",
     )
+    copies = Window.partitionBy("v", "id").orderBy("id")
     equal = Window.partitionBy("v").orderBy("id")
     total = rows.count()
-    rows = rows.withColumn("nth", F.row_number().over(equal)).where(F.col("nth") <= k + 1)
+    rows = rows.withColumn("nth", F.row_number().over(copies)).where(F.col("nth") <= k)
+    rows = rows.withColumn("nth", F.dense_rank().over(equal)).where(F.col("nth") <= k + 1)
     rows = written(rows.select("id", "v"), "forest-distinct")
     tiles = Tiles(rows, asked, tile)
     enough = max(least, share * total)

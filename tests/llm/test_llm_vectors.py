@@ -126,3 +126,13 @@ def test_nearest_equal_vectors_and_bad_ones(spark):
     assert nearest(df.limit(0), df.limit(0)).collect() == []
     few = spark.createDataFrame(other[:3], SCHEMA)
     assert nearest(few, few.where("id = 91")).count() == 2
+
+
+def test_a_repeated_row_does_not_hide_other_ids(spark):
+    rows = [(1, [1.0, 0.0])] * 9 + [(i, [1.0, 0.0]) for i in (2, 3, 3, 4)] + [(5, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    asked = df.where("id = 1").distinct()
+    got = nearest(df, asked, k=5)
+    assert [(r.vec_id, round(r.score, 6)) for r in sorted(got.collect(), key=lambda r: r["rank"])] == [
+        (2, 1.0), (3, 1.0), (3, 1.0), (4, 1.0), (5, 0.0),
+    ]
