@@ -360,15 +360,26 @@ def _gathered(batches, ids, column: int = 0):
         yield held
 
 
+def learn_all(model: LogBilinear, batches, ids, rng) -> int:
+    """Tokens of the batches, all of which the model has learned from."""
+    tokens = 0
+    for group in _gathered(batches, ids):
+        far, near, word = contexts(group, model.units)
+        order = rng.permutation(len(word))
+        model.train(far[order], near[order], word[order], rng)
+        tokens += len(word)
+    return tokens
+
+
 def train_model(
     texts: DataFrame, ids: Units, unigram: np.ndarray, inside: np.ndarray, rounds: int = 2,
     seed: int = 3, chunk: int = 4_096,
 ) -> LogBilinear:
     """Average of what all tasks learn from their own texts, round by round.
 
-    In all rounds but the last a task learns from its first ``_TOKENS`` tokens only: they
-    bring the tasks to a common start, from which the last round goes over every text. A task's parameters come back in chunks; Spark adds them up, weighted by tokens, so the
-    driver receives one set of parameters however many tasks there are.
+    Every round goes over every text. A task's parameters come back in chunks; Spark adds
+    them up, weighted by tokens, so the driver receives one set of parameters however many tasks
+    there are.
     """
     model = LogBilinear(unigram, seed=seed, inside=inside)
     handed = texts.sparkSession.sparkContext.broadcast(ids)
@@ -378,14 +389,7 @@ def train_model(
         def learn(batches, number=number, start=start):
             ids, own = handed.value, LogBilinear(unigram, seed=seed, inside=inside)
             own.put(start.value.vector())
-            rng, tokens = np.random.default_rng(seed + number), 0
-            for group in _gathered(batches, ids):
-                far, near, word = contexts(group, own.units)
-                order = rng.permutation(len(word))
-                own.train(far[order], near[order], word[order], rng)
-                tokens += len(word)
-                if number < rounds - 1:
-                    break
+            tokens = learn_all(own, batches, ids, np.random.default_rng(seed + number))
             flat = own.vector().astype("f4")
             starts = list(range(0, len(flat), chunk)) if tokens else []
             yield pa.RecordBatch.from_arrays(

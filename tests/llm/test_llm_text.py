@@ -208,6 +208,31 @@ def test_words_beyond_the_first_level_have_vectors(spark):
     assert sum(d > 0 for d in better) >= 55
 
 
+def test_every_round_learns_from_all_tokens(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(language_model, "_TOKENS", 50)
+    seen = []
+
+    class Frame:
+        """Runs what is mapped over its batches here, as one task."""
+
+        sparkSession = spark
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, schema):
+            batches = [pa.record_batch([pa.array([b"a b c d"] * 40, pa.binary())], names=["text"])]
+            rows = [r for b in f(iter(batches)) for r in b.to_pylist()]
+            seen.append({r["tokens"] for r in rows})
+            return spark.createDataFrame([(r["start"], r["tokens"], bytearray(r["part"])) for r in rows], schema)
+
+    ids = language_model.Units({language_model.END: 0}, 1, 0, 4, 1)
+    language_model.train_model(Frame(), ids, np.array([1.0, 4.0]), np.ones((1, 4)), rounds=3)
+    assert seen == [{200}] * 3
+
+
 def test_both_levels_are_normalized(spark):
     words = {b"w%d" % i: 1 + i % 7 for i in range(300)}
     counts = spark.createDataFrame([(bytearray(w), c) for w, c in words.items()] +
