@@ -52,6 +52,8 @@ def asof_last_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A hot user's pairs are spread over more cells and tasks; a click is offered to six of them.
+SPREAD = {"cells": 2, "salts": 2}
 VIEW_CLICK_SQL = """
     SELECT v.user_id, v.event_id AS view_id, v.ts AS view_ts,
            c.event_id AS click_id, c.ts AS click_ts
@@ -71,6 +73,7 @@ def view_click_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
         "view_ts",
         "click_ts",
         6 * HOUR,
+        **SPREAD,
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import hundredths, micros
 from quernstone.operators import interval_join
-from quernstone.plans.events import HOUR, HOURLY_SQL, SESSIONS_CTE, VIEW_CLICK_SQL, of_type
+from quernstone.plans.events import HOUR, HOURLY_SQL, SESSIONS_CTE, SPREAD, VIEW_CLICK_SQL, of_type
 from quernstone.plans.registry import query
 from quernstone.session import scratch
 from quernstone.sources import load, load_stream
@@ -120,7 +120,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_view_click(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = of_type(_events(spark, sf_dir), "view", "view").withWatermark("view_ts", "1 hour")
     clicks = of_type(_events(spark, sf_dir), "click", "click").withWatermark("click_ts", "1 hour")
-    pairs = interval_join(views, clicks, ["user_id"], "view_ts", "click_ts", 6 * HOUR)
+    pairs = interval_join(views, clicks, ["user_id"], "view_ts", "click_ts", 6 * HOUR, **SPREAD)
     return _without_zone(run_append(pairs, "view-click"), "view_ts", "click_ts")
 
 

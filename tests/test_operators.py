@@ -416,3 +416,19 @@ def test_percentile_of_many_copies(spark):
     )
     (row,) = exact_percentiles(df, ["k"], "v", {"p50": 0.5, "p99": 0.99}).collect()
     assert (row.p50, row.p99) == (7.0, pytest.approx(49_499.01))
+
+
+def test_registered_pair_joins_spread_hot_users(spark, sf_dir, monkeypatch):
+    from quernstone.plans import REGISTRY, events, streams
+
+    class Called(Exception):
+        pass
+
+    def called(*args, cells=1, salts=1):
+        raise Called(cells, salts)
+
+    for module, name in ((events, "view_click_interval"), (streams, "stream_view_click")):
+        monkeypatch.setattr(module, "interval_join", called)
+        with pytest.raises(Called) as spread:
+            REGISTRY[name].run(spark, sf_dir)
+        assert min(spread.value.args) > 1
