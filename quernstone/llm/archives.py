@@ -96,7 +96,7 @@ def _records(pages: DataFrame) -> Column:
 def write_archives(
     pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url",
     body_col: str = "html", captured: Column | None = None, least: int = LEAST,
-    file_bytes: int = FILE_BYTES, compression: str = "none",
+    file_bytes: int = FILE_BYTES, compression: str = "gzip",
 ) -> None:
     """Write one record per page below ``path``, in files of about ``file_bytes`` (before compression).
 
@@ -105,7 +105,8 @@ def write_archives(
     share the largest id are all responses; a NULL id counts as smaller than any, and where
     all are NULL all are responses. A NULL body is empty. ``captured``: seconds since 2024-01-01
     (default: from the id, since pages carry no time; NULL: 0). A NULL or empty URL is left out of the record.
-    ``compression="gzip"`` compresses whole files; offsets then count uncompressed bytes.
+    Files are compressed whole, so offsets count uncompressed bytes; ``compression="none"`` makes
+    files that can be read from any offset.
     An empty table writes no record.
     """
     body = F.coalesce(F.col(body_col).cast("string"), F.lit(""))

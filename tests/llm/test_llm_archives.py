@@ -85,7 +85,7 @@ def test_one_body_with_a_third_of_all_rows(spark):
 def test_files_are_warc_and_offsets_point_at_records(spark, tmp_path):
     rows = edge_pages()
     path = str(tmp_path / "archives")
-    write_archives(pages(spark, rows), path, file_bytes=3_000)
+    write_archives(pages(spark, rows), path, file_bytes=3_000, compression="none")
     files = {str(f): f.read_bytes() for f in (tmp_path / "archives").glob("part-*")}
     assert len(files) > 1
     runs = sorted_runs(spark, path).collect()
@@ -104,7 +104,7 @@ def test_files_are_warc_and_offsets_point_at_records(spark, tmp_path):
 
 def test_changed_payload_is_noticed(spark, tmp_path):
     path = tmp_path / "archives"
-    write_archives(pages(spark, [(1, "http://a.example", "q" * 2000)]), str(path))
+    write_archives(pages(spark, [(1, "http://a.example", "q" * 2000)]), str(path), compression="none")
     (file,) = [f for f in path.glob("part-*") if f.stat().st_size]
     (tmp_path / "changed").mkdir()
     (tmp_path / "changed" / "a.warc").write_bytes(file.read_bytes().replace(b"qq", b"qr", 1))
