@@ -73,9 +73,51 @@ class PieceCounts:
                 self.closing[text[: -len(_END)]] = i
             else:
                 self.inner[text] = i
-        self.longest = max(map(len, [*self.inner, *self.closing]))
+        self._suffixes()
         self.word = ""
-        self.last, self.count, self.closed = [0], [0], [0]
+        self.last, self.count, self.closed, self.states = [0], [0], [0], [0]
+
+    def _suffixes(self) -> None:
+        """An automaton over the tokens' letters: after each letter, the tokens that end there.
+
+        A state is the longest beginning of a token that ends at the letter; ``shorter`` leads to
+        the next shorter one. ``inside`` and ``at_end`` list its tokens, the longest first, as
+        (length, token).
+        """
+        self.follow: list[dict[str, int]] = [{}]
+        own_inside, own_end = {}, {}
+        for texts, own in ((self.inner, own_inside), (self.closing, own_end)):
+            for text, token in texts.items():
+                state = 0
+                for letter in text:
+                    at = self.follow[state].get(letter)
+                    if at is None:
+                        at = self.follow[state][letter] = len(self.follow)
+                        self.follow.append({})
+                    state = at
+                own[state] = (len(text), token)
+        n = len(self.follow)
+        self.shorter, self.inside, self.at_end = [0] * n, [()] * n, [()] * n
+        level = [0]
+        while level:
+            below = []
+            for state in level:
+                for letter, at in self.follow[state].items():
+                    below.append(at)
+                    back = self._step(self.shorter[state], letter) if state else 0
+                    self.shorter[at] = back
+                    for out, own in ((self.inside, own_inside), (self.at_end, own_end)):
+                        out[at] = (own[at], *out[back]) if at in own else out[back]
+            level = below
+
+    def _step(self, state: int, letter: str) -> int:
+        while True:
+            at = self.follow[state].get(letter)
+            if at is not None:
+                return at
+            if not state:
+                return 0
+            state = self.shorter[state]
 
     def _apart(self, a: int, b: int, before: int) -> bool:
         """Whether no merge joined ``a``'s right edge to ``b``'s left edge before rank ``before``.
@@ -119,30 +161,42 @@ class PieceCounts:
         same, most = 0, min(len(word), len(self.word))
         while same < most and word[same] == self.word[same]:
             same += 1
-        del self.last[same + 1 :], self.count[same + 1 :], self.closed[same + 1 :]
-        last, count, closed = self.last, self.count, self.closed
-        inner, closing, together = self.inner.get, self.closing.get, self.together.get
+        last, count, closed, states = self.last, self.count, self.closed, self.states
+        del last[same + 1 :], count[same + 1 :], closed[same + 1 :], states[same + 1 :]
+        follow, inside, at_end, together = self.follow, self.inside, self.at_end, self.together.get
+        state = states[same]
         for j in range(same + 1, len(word) + 1):
-            first = max(0, j - self.longest)
+            letter = word[j - 1]
+            state = follow[state].get(letter) or self._step(state, letter)
+            states.append(state)
             # of all tokens that end here exactly one may follow what stands before it
-            for tokens, counts in ((inner, count), (closing, closed)):
-                for i in range(first, j):
-                    token = tokens(word[i:j])
-                    if token is None:
+            for n, token in inside[state]:
+                i = j - n
+                if i:
+                    key = last[i] << 32 | token
+                    fits = together(key)
+                    if fits is None:
+                        fits = self._fits(last[i], token, key)
+                    if not fits:
                         continue
-                    if i:
-                        key = last[i] << 32 | token
-                        fits = together(key)
-                        if fits is None:
-                            fits = self._fits(last[i], token, key)
-                        if not fits:
-                            continue
-                    counts.append(count[i] + 1)
-                    if tokens is inner:
-                        last.append(token)
-                    break
-                else:
-                    raise ValueError(f"no encoding of {word[:j]!r}")
+                count.append(count[i] + 1)
+                last.append(token)
+                break
+            else:
+                raise ValueError(f"no encoding of {word[:j]!r}")
+            for n, token in at_end[state]:
+                i = j - n
+                if i:
+                    key = last[i] << 32 | token
+                    fits = together(key)
+                    if fits is None:
+                        fits = self._fits(last[i], token, key)
+                    if not fits:
+                        continue
+                closed.append(count[i] + 1)
+                break
+            else:
+                raise ValueError(f"no encoding of {word[:j]!r}")
         self.word = word
         return self.closed
 
