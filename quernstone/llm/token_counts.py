@@ -320,7 +320,7 @@ class Prefixes:
         before = at = 0
         for found in self._pattern().finditer(text):
             a, b = found.span()
-            counts[at : a + 1], starts[at : a + 1] = before, np.arange(at, a + 1)
+            counts[at : a + 1], starts[at + 1 : a + 1] = before, np.arange(at + 1, a + 1)
             counts[a + 1 : b + 1] = before + self._counts(found.group())
             starts[a + 1 : b + 1] = a
             before, at = int(counts[b]), b
@@ -332,7 +332,8 @@ class Prefixes:
                 out.append(int(counts[end]))
                 continue
             here, tail = tails[k]
-            a = int(starts[here])
+            # from a piece earlier on: an apostrophe may go together with what follows it
+            a = int(starts[starts[here]])
             whole = self._pattern().findall(text[a:here] + tail)
             out.append(int(counts[a]) + sum(int(self._counts(p)[-1]) for p in whole))
         return out

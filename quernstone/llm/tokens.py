@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 
 import numpy as np
 
@@ -20,7 +21,8 @@ KEPT_WORDS = 300_000
 #: Printable ASCII and the Latin letters up to U+012F: here lower case keeps the
 #: length, nothing composes, and the classes below are the library's.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-į]*")
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-į]+|[0-9]|[^a-z0-9ß-öø-į]+")
+_PLAIN_TEXT = re.compile(r"[ \n!-~À-ÖØ-öø-į]*")
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-į]+|[0-9]|[^ \na-z0-9ß-öø-į]+")
 
 _loaded: dict[str, Words] = {}
 
@@ -60,6 +62,10 @@ def drops_space(config: dict) -> bool:
     )
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Words:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes."""
 
@@ -81,6 +87,8 @@ class Words:
     def ids(self, text: str) -> bytes:
         if not self.by_word:
             return self.whole(text)
+        if _PLAIN_TEXT.fullmatch(text) and "<|" not in text:
+            return self.plain(text)
         words = text.replace("\n", " ").split(" ")
         found = list(map(self.words.get, words))
         if None in found:
@@ -89,9 +97,18 @@ class Words:
                     found[i] = self.word(words[i])
         return b"".join(found)
 
+    def plain(self, text: str) -> bytes:
+        """A text of plain letters: its pieces are found at once, and only new ones are encoded."""
+        pieces = _PIECE.findall(text.lower())
+        found, at = list(map(self.pieces.get, pieces)), -1
+        for _ in range(found.count(None)):
+            at = found.index(None, at + 1)
+            found[at] = self.piece(pieces[at])
+        return b"".join(found)
+
     def word(self, word: str) -> bytes:
         if _PLAIN.fullmatch(word) and "<|" not in word:
-            ids = b"".join([self.piece(p) for p in _PIECE.findall(word.lower())])
+            ids = self.plain(word)
         else:
             ids = self.whole(word)
         if len(word) <= 64:
@@ -103,9 +120,12 @@ class Words:
     def piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            spelled = piece.encode().decode("latin-1").translate(self.letters)
-            ids = np.array([t.id for t in self.library.model.tokenize(spelled)], "<u4").tobytes()
-            if len(self.pieces) >= KEPT_WORDS:
-                self.pieces.clear()
-            self.pieces[piece] = ids
+            spelled = piece
+            if not piece.isascii():
+                spelled = piece.encode().decode("latin-1").translate(self.letters)
+            ids = _packed([t.id for t in self.library.model.tokenize(spelled)])
+            if len(piece) <= 64:
+                if len(self.pieces) >= KEPT_WORDS:
+                    self.pieces.clear()
+                self.pieces[piece] = ids
         return ids

@@ -48,7 +48,8 @@ def test_ids_as_the_library_gives_them(text):
 def test_special_strings_and_contractions():
     solver = token_counts.prefixes_of(WORD_BPE)
     for text in ("a<|endoftext|>b", "<|startoftext|><|endoftext|>", "!<|endoftext|>!", "<|endoftex",
-                 "it's they're 'r 're 'rex x'll don't", "a" * 70, "각 각 각", "สวัสดีครับ กำลัง"):
+                 "it's they're 'r 're 'rex x'll don't", "a" * 70, "각 각 각",
+                 "'s\u0301 'r 're\u0301 !'t\u0301 ''ve\u0301x a's\u0327\u0301", "สวัสดีครับ กำลัง"):
         counts = np.cumsum(np.frombuffer(solver.deltas([text])[0], "<i2"))
         assert counts.tolist() == [len(library_ids(text[:i])) for i in range(1, len(text) + 1)], text
 
