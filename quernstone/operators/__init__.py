@@ -1,3 +1,4 @@
+from quernstone.operators.activity import trailing_distinct
 from quernstone.operators.joins import (
     asof_join,
     except_all,
@@ -5,11 +6,15 @@ from quernstone.operators.joins import (
     interval_counts,
     interval_join,
 )
+from quernstone.operators.overlaps import overlap_join
+from quernstone.operators.patterns import VALLEYS, Automaton, matches
 from quernstone.operators.percentiles import exact_percentiles
 from quernstone.operators.sessions import funnel, sessionize
 from quernstone.operators.windows import sliding, top_k_per_key, trailing, tumbling
 
 __all__ = [
+    "VALLEYS",
+    "Automaton",
     "asof_join",
     "except_all",
     "exact_percentiles",
@@ -17,9 +22,12 @@ __all__ = [
     "intersect_all",
     "interval_counts",
     "interval_join",
+    "matches",
+    "overlap_join",
     "sessionize",
     "sliding",
     "top_k_per_key",
     "trailing",
+    "trailing_distinct",
     "tumbling",
 ]

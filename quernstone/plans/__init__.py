@@ -1,6 +1,7 @@
 """The registered queries, each with an equivalent SQL statement where one exists."""
 
 from quernstone.plans import (  # noqa: F401
+    activity,
     aggregates,
     events,
     joins,
