@@ -16,6 +16,7 @@ every task; the counts of the others are joined to the texts that hold them.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
 
@@ -27,13 +28,15 @@ from pyspark.sql import functions as F
 from quernstone.llm.common import row_ids, written
 
 #: Frequent words every task knows (about 3 MB), and entries of the model's first level.
-FREQUENT, MODEL = 200_000, 1_024
-#: Classes (at most a quarter of the first level), and the members that they hold at most
+FREQUENT, MODEL = 200_000, 384
+#: Classes (at most two thirds of the first level), and the members that they hold at most
 #: together: words of their own, and slots shared by hash. Both grow with the words found.
-CLASSES, OWN, SHARED = 256, 32_768, 32_768
+#: First level and classes are of about one size: a rare token is normalized over both.
+CLASSES, OWN, SHARED = 256, 33_408, 32_768
 END = b"\n"  # no word holds white space
 _DISTINCT = 500_000  # words that a task counts before it passes them on
 _TOKENS = 500_000  # tokens trained or scored together
+_BLOCK = 512  # rows of a product that stays in the processor's cache
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -99,9 +102,18 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def _log_sums(z: np.ndarray) -> np.ndarray:
-    """Logarithm of each row's sum of exp(z); ``z`` is used up."""
-    top = z.max(axis=1) if z.size and not -60 < z.min() <= z.max() < 60 else None
+def _largest(q: np.ndarray, t: np.ndarray) -> float:
+    """A bound of the products of rows of ``q`` and of ``t``."""
+    if not len(q) or not len(t):
+        return 0.0
+    return float(np.sqrt(np.einsum("ij,ij->i", q, q).max() * np.einsum("ij,ij->i", t, t).max()))
+
+
+def _log_sums(z: np.ndarray, small: bool = False) -> np.ndarray:
+    """Logarithm of each row's sum of exp(z), all within 60 if ``small``; ``z`` is used up."""
+    top = None
+    if not small and z.size and not -60 < z.min() <= z.max() < 60:
+        top = z.max(axis=1)
     if top is not None:
         z -= top[:, None]
     np.exp(z, out=z)
@@ -172,14 +184,25 @@ class LogBilinear:
         return ((unit >= self.heads) & (unit < self.units)).astype("f4")[:, None]
 
     def looked_up(self, unit: np.ndarray) -> np.ndarray:
-        return self.p["context"][unit] + self._is_member(unit) * self.p["rest"]
+        out = np.take(self.p["context"], unit, axis=0)
+        out += self._is_member(unit) * self.p["rest"]
+        return out
 
     def predicted(self, far: np.ndarray, near: np.ndarray) -> np.ndarray:
         return self.looked_up(far) * self.p["far"] + self.looked_up(near) * self.p["near"]
 
+    def context_tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """What every unit adds to a prediction as the far and as the near word."""
+        whole = self.looked_up(np.arange(self.units + 1))
+        return whole * self.p["far"], whole * self.p["near"]
+
     @staticmethod
-    def _scatter(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-        return np.stack([np.bincount(rows, values[:, d], n) for d in range(values.shape[1])], axis=1)
+    def _scatter(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows that occur, and for each the sum of its values."""
+        order = np.argsort(rows)
+        ordered = rows[order]
+        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        return ordered[starts], np.add.reduceat(np.take(values, order, axis=0), starts, axis=0)
 
     def _noise_members(self, rng, each: int = 512) -> np.ndarray:
         """For every class a row of members drawn by weight."""
@@ -193,8 +216,8 @@ class LogBilinear:
         return np.where(self.inside[drawn] > 0, drawn, first)
 
     def train(
-        self, far, near, word, rng, noise: int = 128, batch: int = 8_192, rate: float = 0.05,
-        member_noise: int = 4,
+        self, far, near, word, rng, noise: int = 64, batch: int = 1_024, rate: float = 0.05,
+        member_noise: int = 1,
     ):
         """One pass of noise-contrastive estimation.
 
@@ -205,21 +228,24 @@ class LogBilinear:
         cumulated, share = np.cumsum(self.unigram), np.log(noise * self.unigram).astype("f4")
         members = self._noise_members(rng) if len(self.inside) else None
         member_share = self.log_inside + np.float32(np.log(member_noise))
-        place = np.empty(max(self.units + 1, len(self.inside)), "i8")
         p = self.p
 
         def step(key, rows, g):
-            square = squares[key][rows] + g * g
-            squares[key][rows] = square
-            p[key][rows] += rate * g / np.sqrt(square)
+            square = squares[key] if rows is None else np.take(squares[key], rows, axis=0)
+            square += g * g
+            g *= np.float32(rate)
+            g /= np.sqrt(square)
+            if rows is None:
+                p[key] += g
+            else:
+                squares[key][rows] = square
+                g += np.take(p[key], rows, axis=0)
+                p[key][rows] = g
 
         def sparse(key, rows, values, m):
             """Only the rows that a batch touches change."""
-            seen = np.zeros(len(p[key]), bool)
-            seen[rows] = True
-            touched = np.flatnonzero(seen)
-            place[touched] = np.arange(len(touched))
-            step(key, touched, (self._scatter(place[rows], values, len(touched)) / m).astype("f4"))
+            touched, sums = self._scatter(rows, values)
+            step(key, touched, sums / np.float32(m))
 
         for at in range(0, len(word), batch):
             f, n, w = far[at : at + batch], near[at : at + batch], word[at : at + batch]
@@ -229,10 +255,18 @@ class LogBilinear:
             # log of model score over (noise words x noise probability)
             gain = p["bias"] - share
             true = np.einsum("ij,ij->i", q, p["target"][c]) + gain[c]
-            false = q @ p["target"][drawn].T + gain[drawn]
             up = _sigmoid(-true)  # wants the true word higher
-            down = _sigmoid(false)  # and the noise lower
-            dq = up[:, None] * p["target"][c] - down @ p["target"][drawn]
+            dq = up[:, None] * p["target"][c]
+            noisy, offset = p["target"][drawn], gain[drawn]
+            away, fewer = np.zeros_like(noisy), np.zeros_like(offset)
+            for b in range(0, m, _BLOCK):  # and the noise lower
+                part = q[b : b + _BLOCK]
+                down = part @ noisy.T
+                down += offset
+                down = _sigmoid(down)
+                dq[b : b + _BLOCK] -= down @ noisy
+                away += down.T @ part
+                fewer += down.sum(0)
             inner = np.flatnonzero(w >= self.heads)
             if len(inner):
                 own = w[inner] - self.heads
@@ -241,45 +275,48 @@ class LogBilinear:
                     rng.integers(0, members.shape[1], (len(own), member_noise)),
                 ]
                 asked = np.concatenate([own[:, None], others], axis=1)
-                t = p["member"][asked]
+                t = np.take(p["member"], asked, axis=0)
                 q1 = np.concatenate([q[inner], np.ones((len(inner), 1), "f4")], axis=1)
                 z = np.matmul(t, q1[:, :, None])[:, :, 0] - member_share[asked]
                 pull = -_sigmoid(z)
                 pull[:, 0] += 1
                 dq[inner] += np.matmul(pull[:, None, :], t)[:, 0, :-1]
+            true_rows, toward = self._scatter(c, up[:, None] * q)
+            target = np.zeros_like(p["target"])
+            target[true_rows] = toward
+            np.subtract.at(target, drawn, away)
             g = {
-                "target": self._scatter(c, up[:, None] * q, self.n),
-                "bias": np.bincount(c, up, self.n),
+                "target": target,
+                "bias": np.bincount(c, up, self.n) - np.bincount(drawn, fewer, self.n),
                 "far": (dq * rf).sum(0),
                 "near": (dq * rn).sum(0),
                 "rest": (self._is_member(f) * dq).sum(0) * p["far"]
                 + (self._is_member(n) * dq).sum(0) * p["near"],
             }
-            np.subtract.at(g["target"], drawn, down.T @ q)
-            np.subtract.at(g["bias"], drawn, down.sum(0))
             both = np.concatenate([dq * p["far"], dq * p["near"]])
             sparse("context", np.concatenate([f, n]), both, m)
             if len(inner):
                 moves = (pull[:, :, None] * q1[:, None, :]).reshape(-1, self.size + 1)
                 sparse("member", asked.ravel(), moves, m)
             for k, v in g.items():
-                step(k, slice(None), (v / m).astype("f4"))
-
-    def log_norms(self, far: np.ndarray, near: np.ndarray, block: int = 512) -> np.ndarray:
-        """Logarithm of the sum over the first level of exp(score), per context."""
-        out = np.empty(len(far))
-        turned = np.concatenate([self.p["target"].T, self.p["bias"][None]])
-        q = np.ones((len(far), self.size + 1), "f4")
-        q[:, :-1] = self.predicted(far, near)
-        for at in range(0, len(far), block):
-            out[at : at + block] = _log_sums(q[at : at + block] @ turned)
+                step(k, None, (v / m).astype("f4"))
+
+    def log_norms(self, q: np.ndarray, block: int = _BLOCK) -> np.ndarray:
+        """Logarithm of the sum over the first level of exp(score), per prediction."""
+        out = np.empty(len(q))
+        turned = np.ascontiguousarray(self.p["target"].T)
+        small = _largest(q, self.p["target"]) + np.abs(self.p["bias"]).max() < 60
+        for at in range(0, len(q), block):
+            z = q[at : at + block] @ turned
+            z += self.p["bias"]
+            out[at : at + block] = _log_sums(z, small)
         return out
 
     def known_norms(self) -> np.ndarray:
         """Room for the logarithm of the sum of contexts without members: 5 MB for 768 words."""
         return np.full((self.heads + 1) ** 2, np.nan)
 
-    def _norms(self, far: np.ndarray, near: np.ndarray, known: np.ndarray) -> np.ndarray:
+    def _norms(self, far, near, q: np.ndarray, known: np.ndarray) -> np.ndarray:
         """Per token; each distinct context is normalized once, and kept in ``known`` without members."""
         f, n = (np.where(u == self.units, self.heads, u).astype("i8") for u in (far, near))
         often = ((far < self.heads) | (far == self.units)) & (
@@ -289,32 +326,37 @@ class LogBilinear:
         context = (f * (self.heads + 1) + n)[often]
         distinct, at = np.unique(context, return_index=True)
         new = np.isnan(known[distinct])
-        known[distinct[new]] = self.log_norms(far[often][at[new]], near[often][at[new]])
+        known[distinct[new]] = self.log_norms(q[often][at[new]])
         out[often] = known[context]
         rest = np.flatnonzero(~often)
         _, at, back = np.unique(
             far[rest].astype("i8") * (self.units + 1) + near[rest],
             return_index=True, return_inverse=True,
         )
-        out[rest] = self.log_norms(far[rest][at], near[rest][at])[back]
+        out[rest] = self.log_norms(q[rest[at]])[back]
         return out
 
-    def log_probabilities(self, far, near, word, known: np.ndarray | None = None) -> np.ndarray:
+    def log_probabilities(
+        self, far, near, word, known: np.ndarray | None = None, tables: tuple | None = None
+    ) -> np.ndarray:
         """Natural logarithms: of the entry of the first level, and of the member in its class."""
         known = self.known_norms() if known is None else known
         c = self.first(word)
-        q = self.predicted(far, near)
+        as_far, as_near = tables or self.context_tables()
+        q = np.take(as_far, far, axis=0)
+        q += np.take(as_near, near, axis=0)
         score = np.einsum("ij,ij->i", q, self.p["target"][c])
         score += self.p["bias"][c]
-        out = score.astype("f8") - self._norms(far, near, known)
+        out = score.astype("f8") - self._norms(far, near, q, known)
         inner = np.flatnonzero(word >= self.heads)
         inner = inner[np.argsort(c[inner], kind="stable")]
         cuts = np.searchsorted(c[inner], np.arange(self.heads, self.n + 1))
         for k, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             t = self.p["member"][k * self.slots : (k + 1) * self.slots]
-            for at in range(low, high, 2_048):
-                rows = inner[at : min(at + 2_048, high)]
-                z = q[rows] @ t[:, :-1].T + t[:, -1]
+            for at in range(low, high, _BLOCK):
+                rows = inner[at : min(at + _BLOCK, high)]
+                z = q[rows] @ t[:, :-1].T
+                z += t[:, -1]
                 mine = z[np.arange(len(rows)), word[rows] - self.heads - k * self.slots]
                 out[rows] += mine.astype("f8") - _log_sums(z)
         return out
@@ -330,16 +372,20 @@ class LogBilinear:
 
 
 def model_ids(tokens: list[bytes], ids: Units) -> list[int]:
-    return [ids[t] for t in tokens]
+    return list(map(ids.__getitem__, tokens))
 
 
 def contexts(texts: list[list[int]], start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The id before the previous one, the previous one, and the id, of every token of every text."""
     lengths = [len(t) for t in texts]
-    word = np.fromiter((i for t in texts for i in t), "i4", sum(lengths))
+    word = np.fromiter(itertools.chain.from_iterable(texts), "i4", sum(lengths))
+    return _around(word, np.cumsum([0, *lengths[:-1]]), start)
+
+
+def _around(word: np.ndarray, first: np.ndarray, start: int) -> tuple:
+    """The contexts of ids that lie one text after another, from the places ``first`` on."""
     near, far = np.full(len(word), start, "i4"), np.full(len(word), start, "i4")
     near[1:], far[2:] = word[:-1], word[:-2]
-    first = np.cumsum([0, *lengths[:-1]])
     near[first], far[first] = start, start
     second = first + 1
     far[second[second < len(word)]] = start
@@ -372,7 +418,7 @@ def learn_all(model: LogBilinear, batches, ids, rng) -> int:
 
 
 def train_model(
-    texts: DataFrame, ids: Units, unigram: np.ndarray, inside: np.ndarray, rounds: int = 2,
+    texts: DataFrame, ids: Units, unigram: np.ndarray, inside: np.ndarray, rounds: int = 1,
     seed: int = 3, chunk: int = 4_096,
 ) -> LogBilinear:
     """Average of what all tasks learn from their own texts, round by round.
@@ -432,7 +478,7 @@ def units_of(
     Weights are add-one counts; a slot has one share more for the words never seen.
     """
     ranked = [k for k in known if k[0] != END]
-    classes = max(1, min(CLASSES, vocabulary // 4))
+    classes = max(1, min(CLASSES, vocabulary * 2 // 3))
     heads = ranked[: max(0, vocabulary - 1 - classes)]
     own = ranked[len(heads) : len(heads) + OWN]
     left = types - (c_end > 0) - len(heads) - len(own)
@@ -460,7 +506,7 @@ def units_of(
 
 def score_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held=held_out,
-    frequent: int = FREQUENT, vocabulary: int = MODEL, rounds: int = 2,
+    frequent: int = FREQUENT, vocabulary: int = MODEL, rounds: int = 1,
 ) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``, one row per row.
 
@@ -500,41 +546,49 @@ def score_documents(
 
     def score(batches):
         c_of, ids, slots, model = handed.value
-        rows, norms = row_ids(), model.known_norms()
+        rows, norms, tables = row_ids(), model.known_norms(), model.context_tables()
         unit_slot = np.full(model.units, -1)  # of units that words share
         shared = np.arange(ids.shared)
         unit_slot[ids.member(ids.own + shared)] = shared
+        # one lookup a token: the word's rank gives its unit and its logarithm
+        rank = {word: i for i, word in enumerate(c_of)}
+        units = np.array([ids[word] for word in rank], "i4")
+        logs_of = np.log10(np.array([*c_of.values()], "f8") + 1)
         for batch in batches:
             doc_ids, flags = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             texts, at = batch.column(1), 0
             while at < len(doc_ids):
-                out, group, size = [], [], 0
+                first, group, size, others = at, [], 0, []
                 while at < len(doc_ids) and size < _TOKENS:
-                    tokens = words(texts[at].as_py())
-                    found = [c_of.get(t) for t in tokens]
-                    seen = np.array([c for c in found if c is not None], "f8")
-                    others = Counter(t for t, c in zip(tokens, found, strict=True) if c is None)
-                    coded = model_ids(tokens, ids)
-                    # inside a slot: add-one, with one share for the unseen
-                    slot = unit_slot[coded]
-                    rare = [c for c, i in zip(found, slot, strict=True)
-                            if i >= 0 and c is not None]
-                    out.append([
-                        next(rows), doc_ids[at], flags[at], len(tokens), len(seen),
-                        float(np.log10(seen + 1).sum()) - len(tokens) * outside,
-                        float(np.log10(np.array(rare, "f8") + 1).sum())
-                        - float(slots[slot[slot >= 0]].sum()),
-                        [{"word": w, "times": k} for w, k in others.items()],
-                    ])
-                    group.append(coded)
-                    size += len(tokens)
+                    group.append(words(texts[at].as_py()))
+                    size += len(group[-1])
                     at += 1
-                far, near, word = contexts(group, model.units)
-                logs = model.log_probabilities(far, near, word, norms) / np.log(10)
-                starts = np.cumsum([0, *[len(g) for g in group[:-1]]])
-                for row, own in zip(out, np.add.reduceat(logs, starts), strict=True):
-                    row[6] += float(own)
-                columns = list(zip(*out, strict=True))
+                lengths = np.array([len(tokens) for tokens in group])
+                starts = np.cumsum(lengths) - lengths
+                place = np.fromiter(
+                    map(rank.get, itertools.chain.from_iterable(group), itertools.repeat(-1)), "i4", size
+                )
+                known = place >= 0
+                if len(units):
+                    coded, logs = np.where(known, units[place], 0), np.where(known, logs_of[place], 0)
+                else:
+                    coded, logs = np.zeros(size, "i4"), np.zeros(size)
+                unknown = [np.flatnonzero(~known[s : s + n]) for s, n in zip(starts, lengths, strict=True)]
+                for tokens, s, missing in zip(group, starts, unknown, strict=True):
+                    lost = [tokens[i] for i in missing]
+                    coded[s + missing] = model_ids(lost, ids)
+                    others.append([{"word": w, "times": k} for w, k in Counter(lost).items()])
+                n_known = np.add.reduceat(known.astype("i8"), starts)
+                base = np.add.reduceat(logs, starts) - lengths * outside
+                # inside a slot: add-one, with one share for the unseen
+                slot = unit_slot[coded]
+                inside_slot = np.where(slot >= 0, logs - slots[slot], 0)
+                far, near, word = _around(coded.astype("i4"), starts, model.units)
+                own = model.log_probabilities(far, near, word, norms, tables) / np.log(10) + inside_slot
+                columns = [
+                    [next(rows) for _ in group], doc_ids[first:at], flags[first:at], lengths.tolist(),
+                    n_known.tolist(), base.tolist(), np.add.reduceat(own, starts).tolist(), others,
+                ]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)],
                     schema=arrow,
