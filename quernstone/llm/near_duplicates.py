@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm.common import unused, written
@@ -434,16 +434,18 @@ def deduplicated(
 ) -> DataFrame:
     """One row of each group of near-duplicates, that of the smallest id; the columns stay.
 
-    Rows that repeat an id are one document, of which the first text in order stays.
-    Rows without an id can't be told apart from others and all stay.
+    Rows are told apart by a number of their own: unrelated texts under one id all stay, and of
+    equal texts without an id one does. Rows without an id come after all others of
+    their group, ties go to the row read first. Rows without words or text (NULL) have no
+    duplicates and stay; an empty table stays empty.
     """
-    found = near_duplicates(docs, id_col, text_col, size=size, **options)
-    kept, nth = unused(docs, "kept_id"), unused(docs, "kept_nth")
-    ids = found.where("kept").select(F.col("doc_id").alias(kept)).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(
-        ids, F.col(id_col) == F.col(kept), "inner"
-    )
-    order = Window.partitionBy(kept).orderBy(F.col(text_col))
-    first = named.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return first.select(*columns).unionAll(docs.where(F.col(id_col).isNull()).select(*columns))
+    number, own_id = unused(docs, "row_number"), unused(docs, "row_id")
+    rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(rows, number, text_col, size=size, **options)
+    ids = rows.select(number, F.col(id_col).cast("long").alias(own_id))
+    best = F.min(F.struct(F.col(own_id).isNull().alias("last"), F.col(own_id), F.col(number)))
+    kept = (
+        found.select(F.col("doc_id").alias(number), "component_id").join(ids, number)
+        .groupBy("component_id").agg(best.alias("best")).select(f"best.{number}")
+    )
+    return rows.join(kept, number, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -125,6 +125,18 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(61)} | {i: 200 for i in (200, 201, 202)}
 
 
+def test_deduplicated_goes_by_rows(spark):
+    one, two = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(1, one), (1, two), (None, "no id at all here ever"), (None, "no id at all here ever"),
+            (None, two), (2, one), (3, None), (3, None), (None, ""), (4, " ")]
+    kept = near_duplicates.deduplicated(documents(spark, rows), size=5)
+    assert kept.columns == documents(spark, rows).columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert got == sorted([(1, one), (1, two), (None, "no id at all here ever"), (3, None), (3, None),
+                          (None, ""), (4, " ")], key=repr)
+    assert near_duplicates.deduplicated(documents(spark, []), size=5).collect() == []
+
+
 def test_deduplicated_keeps_one_of_each(spark):
     rows = edge_rows() + [(70, "one two"), (71, "ONE\ttwo")]
     df = documents(spark, rows)
