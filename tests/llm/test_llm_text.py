@@ -121,6 +121,43 @@ def test_network_judges_whole_runs_and_what_rules_leave():
     assert sum(any(runs) for runs in clean) < 20
 
 
+def test_keys_of_all_kinds_in_texts_of_the_table(spark):
+    """Keys that no rule names, in unseen texts without key words: found, and covered as a whole."""
+    texts = [r.text or "" for r in load(spark, "/root/testdata/sf0.1", "documents").orderBy("doc_id").collect()]
+    rng = random.Random(3)
+    rng.shuffle(texts)
+    seen, unseen = texts[:8_000], texts[8_000:]
+    known, other = set(), set()
+    for text in seen:
+        base = secrets.base_spans(text)
+        known |= {secrets.window(text, v, b)[: secrets.WIDTH] for _, _, b, v in base}
+        other |= {w for a, b in secrets.candidates(text, base) for _, w in secrets.cut(secrets.window(text, a, b))}
+    model = secrets.train(sorted(known)[:3_000], sorted(other)[:6_000])
+
+    def spans(text):
+        base = secrets.base_spans(text)
+        runs = [(a, b, secrets.window(text, a, b)) for part in secrets.split_runs(text, base) for a, b in part]
+        return [(a, b) for a, _, b, _ in base], [(a, b) for r in secrets.judged_spans(model, runs) for a, b, _ in r]
+
+    small, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alnum = small + small.upper() + digits
+    kinds = {"32": (alnum, 32), "40": (alnum, 40), "120": (alnum, 120), "hex": (digits + "abcdef", 20),
+             "HEX": (digits + "ABCDEF", 40), "ghp_": (alnum, 36), "caps": (small.upper() + digits, 20)}
+    for name, (letters, n) in kinds.items():
+        whole = 0
+        for _ in range(100):
+            key = ("ghp_" if name == "ghp_" else "") + "".join(rng.choices(letters, k=n))
+            words = rng.choice(unseen)[:600].split(" ")
+            place = rng.randrange(len(words) + 1)
+            text = " ".join([*words[:place], key, *words[place:]])
+            at = text.index(key)
+            whole += any(a <= at and at + len(key) <= b for part in spans(text) for a, b in part)
+        assert whole >= 90, name
+    words = "".join(rng.choices(small + small.upper() + digits, k=2)) + "xK7$pQ!2"
+    assert spans(f"he wrote {words} on the wall")[1]
+    assert sum(bool(spans(text)[1]) for text in unseen) < 0.01 * len(unseen)
+
+
 def test_long_candidates_are_cut_without_gaps():
     text = "".join(chr(97 + i % 26) for i in range(331))
     for end in (16, 48, 49, 64, 65, 200, 331):
