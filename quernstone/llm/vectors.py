@@ -164,16 +164,17 @@ class Forest:
 
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = 128, bits: int = 24,
-    share: float = 0.4, least: int = 4_096, tile: int = TILE, seed: int = 10,
+    share: float = 0.4, least: int = 0, tile: int = TILE, seed: int = 10,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` largest cosines among the found candidates.
 
     Each tree keeps the rows' hash strings sorted. A query descends every tree to the
     rows with its longest prefix; then all trees ascend together, one bit at a time,
-    until the ranges of that prefix length hold ``max(least, share * rows)`` entries, counted over
+    until the ranges of that prefix length hold ``max(least, share * rows + trees)`` entries, counted over
     all trees. All rows in these ranges are compared exactly, in doubles. The
     counts are summed over all tiles before the length is chosen, so the result is
-    that of one forest over the whole table.
+    that of one forest over the whole table. A query with fewer than ``k`` rows in its ranges
+    is compared with all rows.
 
     Vectors of length zero take no part either. Of equal vectors only the ``k + 1``
     smallest distinct ids are indexed, each at most ``k`` times: by the rule for ties no
@@ -191,7 +192,7 @@ def nearest(
     rows = rows.withColumn("nth", F.dense_rank().over(equal)).where(F.col("nth") <= k + 1)
     rows = written(rows.select("id", "v"), "forest-distinct")
     tiles = Tiles(rows, asked, tile)
-    enough = max(least, share * total)
+    enough = max(least, share * total + trees)  # a query has a place of its own in every tree
 
     def levels(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         forest = Forest(size, trees, bits, seed)
@@ -211,7 +212,7 @@ def nearest(
     counted = written(
         counted.select("query_id", F.greatest(level, F.lit(0)).alias("level")), "forest-levels"
     )
-    asked = tiles.asked.join(counted.withColumnRenamed("query_id", "id"), "id")
+    levelled = tiles.asked.join(counted.withColumnRenamed("query_id", "id"), "id")
 
     def compared(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         forest = Forest(size, trees, bits, seed)
@@ -237,8 +238,18 @@ def nearest(
             ))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame()
 
-    lists = tiles.each(compared, "query_id long, vec_id long, score double", asked)
-    return tiles.best(lists, k, "double")
+    def found_by(asked: DataFrame) -> DataFrame:
+        lists = tiles.each(compared, "query_id long, vec_id long, score double", asked)
+        return tiles.best(lists, k, "double")
+
+    found = written(found_by(levelled), "forest-found")
+    full = found.where(F.col("rank") == k).select("query_id")
+    short = written(counted.select("query_id").join(full, "query_id", "left_anti"), "forest-short")
+    if short.isEmpty():
+        return found
+    again = tiles.asked.join(short.withColumnRenamed("query_id", "id"), "id")
+    rest = found_by(again.withColumn("level", F.lit(0).cast("long")))
+    return found.join(short, "query_id", "left_anti").unionByName(rest)
 
 
 def _length(vector: str) -> Column:
