@@ -143,6 +143,33 @@ class Units(dict):
         return self.member(self.own + self.slot(word))
 
 
+def _whole_rows(table: np.ndarray) -> np.ndarray:
+    """The same memory, a row as one item: rows are put in place without a loop over columns."""
+    return table.view(f"V{table.shape[1] * table.itemsize}")[:, 0]
+
+
+class _RowSums:
+    """Sums of the vectors that a batch adds to the same row, without sorting them."""
+
+    def __init__(self, rows: int):
+        self.mark, self.place = np.zeros(rows, bool), np.zeros(rows, "i8")
+
+    @staticmethod
+    def whole(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+        """The sums of all ``n`` rows."""
+        width = values.shape[1]
+        cells = (rows.astype("i8") * width)[:, None] + np.arange(width)
+        return np.bincount(cells.ravel(), values.ravel(), n * width).reshape(n, width)
+
+    def touched(self, rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows that occur, in order, and their sums."""
+        self.mark[rows] = True
+        found = np.flatnonzero(self.mark)
+        self.mark[found] = False
+        self.place[found] = np.arange(len(found))
+        return found, self.whole(self.place[rows], values, len(found))
+
+
 class LogBilinear:
     """Parameters in ``p``; contexts are the units of the two previous words, ``units`` standing for no word.
 
@@ -192,17 +219,20 @@ class LogBilinear:
         return self.looked_up(far) * self.p["far"] + self.looked_up(near) * self.p["near"]
 
     def context_tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """What every unit adds to a prediction as the far and as the near word."""
+        """What every unit adds to a prediction as the far and as the near word.
+
+        A last column, 1 in all, meets the bias in products.
+        """
         whole = self.looked_up(np.arange(self.units + 1))
-        return whole * self.p["far"], whole * self.p["near"]
+        one = np.ones((len(whole), 1), "f4")
+        return (
+            np.concatenate([whole * self.p["far"], one], axis=1),
+            np.concatenate([whole * self.p["near"], one * 0], axis=1),
+        )
 
-    @staticmethod
-    def _scatter(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rows that occur, and for each the sum of its values."""
-        order = np.argsort(rows)
-        ordered = rows[order]
-        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        return ordered[starts], np.add.reduceat(np.take(values, order, axis=0), starts, axis=0)
+    def targets(self) -> np.ndarray:
+        """The first level's vectors, each with its bias as the last column."""
+        return np.concatenate([self.p["target"], self.p["bias"][:, None]], axis=1)
 
     def _noise_members(self, rng, each: int = 512) -> np.ndarray:
         """For every class a row of members drawn by weight."""
@@ -225,27 +255,31 @@ class LogBilinear:
         every word has noise members of its own.
         """
         squares = {k: np.full(v.shape, 1e-6, "f4") for k, v in self.p.items()}
+        # a word's vector has one mean square, which keeps half of the memory out of the caches
+        squares["context"] = np.full(len(self.p["context"]), 1e-6, "f4")
+        squares["member"] = np.full(len(self.p["member"]), 1e-6, "f4")
         cumulated, share = np.cumsum(self.unigram), np.log(noise * self.unigram).astype("f4")
+        sums = _RowSums(max(self.units + 1, len(self.inside)))
         members = self._noise_members(rng) if len(self.inside) else None
         member_share = self.log_inside + np.float32(np.log(member_noise))
         p = self.p
 
-        def step(key, rows, g):
-            square = squares[key] if rows is None else np.take(squares[key], rows, axis=0)
-            square += g * g
+        def step(key, g):
+            squares[key] += g * g
             g *= np.float32(rate)
-            g /= np.sqrt(square)
-            if rows is None:
-                p[key] += g
-            else:
-                squares[key][rows] = square
-                g += np.take(p[key], rows, axis=0)
-                p[key][rows] = g
+            g /= np.sqrt(squares[key])
+            p[key] += g
 
         def sparse(key, rows, values, m):
             """Only the rows that a batch touches change."""
-            touched, sums = self._scatter(rows, values)
-            step(key, touched, sums / np.float32(m))
+            touched, g = sums.touched(rows, values)
+            g = (g / m).astype("f4")
+            square = squares[key][touched]
+            square += np.einsum("ij,ij->i", g, g) / np.float32(g.shape[1])
+            squares[key][touched] = square
+            g *= (np.float32(rate) / np.sqrt(square))[:, None]
+            g += np.take(p[key], touched, axis=0)
+            _whole_rows(p[key])[touched] = _whole_rows(g)
 
         for at in range(0, len(word), batch):
             f, n, w = far[at : at + batch], near[at : at + batch], word[at : at + batch]
@@ -254,9 +288,10 @@ class LogBilinear:
             q = rf * p["far"] + rn * p["near"]
             # log of model score over (noise words x noise probability)
             gain = p["bias"] - share
-            true = np.einsum("ij,ij->i", q, p["target"][c]) + gain[c]
+            dq = np.take(p["target"], c, axis=0)
+            true = np.einsum("ij,ij->i", q, dq) + gain[c]
             up = _sigmoid(-true)  # wants the true word higher
-            dq = up[:, None] * p["target"][c]
+            dq *= up[:, None]
             noisy, offset = p["target"][drawn], gain[drawn]
             away, fewer = np.zeros_like(noisy), np.zeros_like(offset)
             for b in range(0, m, _BLOCK):  # and the noise lower
@@ -276,22 +311,23 @@ class LogBilinear:
                 ]
                 asked = np.concatenate([own[:, None], others], axis=1)
                 t = np.take(p["member"], asked, axis=0)
-                q1 = np.concatenate([q[inner], np.ones((len(inner), 1), "f4")], axis=1)
-                z = np.matmul(t, q1[:, :, None])[:, :, 0] - member_share[asked]
+                q1 = np.ones((len(inner), self.size + 1), "f4")
+                q1[:, :-1] = np.take(q, inner, axis=0)
+                z = np.einsum("ijk,ik->ij", t, q1) - member_share[asked]
                 pull = -_sigmoid(z)
                 pull[:, 0] += 1
-                dq[inner] += np.matmul(pull[:, None, :], t)[:, 0, :-1]
-            true_rows, toward = self._scatter(c, up[:, None] * q)
-            target = np.zeros_like(p["target"])
-            target[true_rows] = toward
-            np.subtract.at(target, drawn, away)
+                g = np.take(dq, inner, axis=0)
+                g += np.einsum("ij,ijk->ik", pull, t)[:, :-1]
+                _whole_rows(dq)[inner] = _whole_rows(g)
+            target = sums.whole(c, up[:, None] * q, self.n)
+            target -= sums.whole(drawn, away, self.n)
             g = {
                 "target": target,
                 "bias": np.bincount(c, up, self.n) - np.bincount(drawn, fewer, self.n),
-                "far": (dq * rf).sum(0),
-                "near": (dq * rn).sum(0),
-                "rest": (self._is_member(f) * dq).sum(0) * p["far"]
-                + (self._is_member(n) * dq).sum(0) * p["near"],
+                "far": np.einsum("ij,ij->j", dq, rf),
+                "near": np.einsum("ij,ij->j", dq, rn),
+                "rest": (self._is_member(f).T @ dq)[0] * p["far"]
+                + (self._is_member(n).T @ dq)[0] * p["near"],
             }
             both = np.concatenate([dq * p["far"], dq * p["near"]])
             sparse("context", np.concatenate([f, n]), both, m)
@@ -299,17 +335,15 @@ class LogBilinear:
                 moves = (pull[:, :, None] * q1[:, None, :]).reshape(-1, self.size + 1)
                 sparse("member", asked.ravel(), moves, m)
             for k, v in g.items():
-                step(k, None, (v / m).astype("f4"))
+                step(k, (v / m).astype("f4"))
 
     def log_norms(self, q: np.ndarray, block: int = _BLOCK) -> np.ndarray:
-        """Logarithm of the sum over the first level of exp(score), per prediction."""
+        """Logarithm of the sum over the first level of exp(score), per prediction and its 1."""
         out = np.empty(len(q))
-        turned = np.ascontiguousarray(self.p["target"].T)
-        small = _largest(q, self.p["target"]) + np.abs(self.p["bias"]).max() < 60
+        turned = np.ascontiguousarray(self.targets().T)
+        small = _largest(q[:, :-1], self.p["target"]) + np.abs(self.p["bias"]).max() < 60
         for at in range(0, len(q), block):
-            z = q[at : at + block] @ turned
-            z += self.p["bias"]
-            out[at : at + block] = _log_sums(z, small)
+            out[at : at + block] = _log_sums(q[at : at + block] @ turned, small)
         return out
 
     def known_norms(self) -> np.ndarray:
@@ -345,20 +379,21 @@ class LogBilinear:
         as_far, as_near = tables or self.context_tables()
         q = np.take(as_far, far, axis=0)
         q += np.take(as_near, near, axis=0)
-        score = np.einsum("ij,ij->i", q, self.p["target"][c])
-        score += self.p["bias"][c]
+        score = np.einsum("ij,ij->i", q, np.take(self.targets(), c, axis=0))
         out = score.astype("f8") - self._norms(far, near, q, known)
         inner = np.flatnonzero(word >= self.heads)
         inner = inner[np.argsort(c[inner], kind="stable")]
         cuts = np.searchsorted(c[inner], np.arange(self.heads, self.n + 1))
+        # a weight of 0 adds nothing to its class, however low it is
+        bias = np.abs(self.p["member"][self.inside > 0, -1]).max(initial=0)
+        small = _largest(q[:, :-1], self.p["member"][:, :-1]) + bias < 60
         for k, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            t = self.p["member"][k * self.slots : (k + 1) * self.slots]
+            t = np.ascontiguousarray(self.p["member"][k * self.slots : (k + 1) * self.slots].T)
             for at in range(low, high, _BLOCK):
                 rows = inner[at : min(at + _BLOCK, high)]
-                z = q[rows] @ t[:, :-1].T
-                z += t[:, -1]
+                z = np.take(q, rows, axis=0) @ t
                 mine = z[np.arange(len(rows)), word[rows] - self.heads - k * self.slots]
-                out[rows] += mine.astype("f8") - _log_sums(z)
+                out[rows] += mine.astype("f8") - _log_sums(z, small)
         return out
 
     def vector(self) -> np.ndarray:
@@ -392,12 +427,12 @@ def _around(word: np.ndarray, first: np.ndarray, start: int) -> tuple:
     return far, near, word
 
 
-def _gathered(batches, ids, column: int = 0):
-    """Texts as ids, in groups of about ``_TOKENS`` tokens."""
+def _gathered(batches, column: int = 0):
+    """Texts as words, in groups of about ``_TOKENS`` tokens."""
     held, n = [], 0
     for batch in batches:
-        for text in batch.column(column).to_pylist():
-            held.append(model_ids(words(text), ids))
+        for text in batch.column(column):
+            held.append(words(text.as_py()))
             n += len(held[-1])
             if n >= _TOKENS:
                 yield held
@@ -406,11 +441,21 @@ def _gathered(batches, ids, column: int = 0):
         yield held
 
 
+def _flat_ids(texts: list[list[bytes]], ids: Units) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words, one text after another, and the place where each text starts."""
+    lengths = np.array([len(t) for t in texts])
+    flat = list(itertools.chain.from_iterable(texts))
+    coded = np.fromiter(map(ids.get, flat, itertools.repeat(-1)), "i4", len(flat))
+    lost = np.flatnonzero(coded < 0)
+    coded[lost] = model_ids([flat[i] for i in lost], ids)
+    return coded, np.cumsum(lengths) - lengths
+
+
 def learn_all(model: LogBilinear, batches, ids, rng) -> int:
     """Tokens of the batches, all of which the model has learned from."""
     tokens = 0
-    for group in _gathered(batches, ids):
-        far, near, word = contexts(group, model.units)
+    for group in _gathered(batches):
+        far, near, word = _around(*_flat_ids(group, ids), model.units)
         order = rng.permutation(len(word))
         model.train(far[order], near[order], word[order], rng)
         tokens += len(word)
