@@ -1,4 +1,6 @@
 from quernstone.operators.activity import trailing_distinct
+from quernstone.operators.grids import interpolated
+from quernstone.operators.heavy_hitters import heavy_hitters
 from quernstone.operators.joins import (
     asof_join,
     except_all,
@@ -19,7 +21,9 @@ __all__ = [
     "except_all",
     "exact_percentiles",
     "funnel",
+    "heavy_hitters",
     "intersect_all",
+    "interpolated",
     "interval_counts",
     "interval_join",
     "matches",

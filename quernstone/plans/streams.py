@@ -15,13 +15,17 @@ from quernstone.plans.registry import query
 from quernstone.session import scratch
 from quernstone.sources import load, load_stream
 from quernstone.streaming import (
+    compact,
+    create_table,
     dedup_stream,
+    read_table,
     run_append,
     run_to_end,
     run_update,
     running_totals,
     stream_sessions,
     stream_tumbling,
+    upsert_stream,
 )
 
 
@@ -134,3 +138,21 @@ def stream_view_click(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_user_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = running_totals(_events(spark, sf_dir), "user_id", "value")
     return run_update(totals, "user-totals", ["user_id"])
+
+
+@query(
+    """
+    SELECT user_id, event_id, ts, event_type, value FROM events
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1
+    """
+)
+def stream_user_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of every user, upserted in batches out of time order, then compacted."""
+    folder, path = scratch(spark, "events-by-hash"), scratch(spark, "user-latest")
+    load(spark, sf_dir, "events").repartition(_QUARTERS * _FILES, "event_id").write.parquet(folder)
+    events = load_stream(spark, folder, "events", files_per_batch=_FILES).drop("props")
+    table = (path, events.schema, ["user_id"], ["ts", "event_id"])
+    create_table(spark, *table[:2])
+    upsert_stream(events, path, *table[2:])
+    compact(spark, *table)
+    return _without_zone(read_table(spark, *table), "ts")
