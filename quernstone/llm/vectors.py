@@ -15,8 +15,13 @@ from quernstone.llm.common import written
 
 #: Rows of one tile; a task works on one tile of queries and one of rows.
 TILE = 4_096
+#: Rows of the largest tile of an exact search, 16 MB for 64 components: a row is copied once for so
+#: many queries, a query once for so many rows.
+WIDE = 32_768
+#: Scores that a task holds at once.
+SCORES = 4_194_304
 #: Lists that one task merges.
-FAN_IN = 16
+FAN_IN = 4
 
 
 def usable(vector: Column) -> Column:
@@ -114,29 +119,41 @@ def _exact_product(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.clip(whole[0] @ whole[1].T, -(2**63), 2**63 - 1).astype("i8")
 
 
+def _tile(rows: DataFrame) -> int:
+    """As wide as leaves a tile of rows for every shuffle partition, between ``TILE`` and ``WIDE``."""
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(WIDE, max(TILE, -(-rows.count() // partitions)))
+
+
 def exact_topk(
-    vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 1024.0, tile: int = TILE
-) -> DataFrame:
+    vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 1024.0,
+    tile: int | None = None,
+) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` highest integer inner products.
 
     ``vectors`` and ``queries`` have ``id, v`` (array of numbers); a component x counts as
     ``floor(scale * x)``. A score beyond 64 bits stays at their limit. A query never meets
     rows of its own id; ties go to the smaller id; a repeated candidate row appears as
     often as it occurs. Fewer than ``k`` candidates give fewer rows, empty tables none.
+
+    ``tile`` is the number of rows, and of queries, of a tile (see ``_tile`` if not given); a task
+    multiplies a tile of rows by as many of the queries at a time as ``SCORES`` allows.
     """
     rows, asked, _ = _prepared(
         vectors, queries, lambda x: F.floor(x.cast("double") * scale).cast("double"), "topk"
     )
-    tiles = Tiles(rows, asked, tile)
+    tiles = Tiles(rows, asked, tile or _tile(rows))
 
     def products(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         ids, own = rows["id"].to_numpy("i8"), queries["id"].to_numpy("i8")
-        scores = _exact_product(np.stack(queries["v"]), np.stack(rows["v"]))
-        out = []
-        for query, line in zip(own, scores, strict=True):
-            others = np.flatnonzero(ids != query)
-            best = others[_top(ids[others], line[others], k)]
-            out.append(np.array([np.full(len(best), query), ids[best], line[best]]))
+        q, v = np.stack(queries["v"]), np.stack(rows["v"])
+        block, out = max(1, SCORES // len(ids)), []
+        for at in range(0, len(own), block):
+            scores = _exact_product(q[at : at + block], v)
+            for query, line in zip(own[at : at + block], scores, strict=True):
+                others = np.flatnonzero(ids != query)
+                best = others[_top(ids[others], line[others], k)]
+                out.append(np.array([np.full(len(best), query), ids[best], line[best]]))
         return pd.DataFrame(np.concatenate(out, axis=1).T, columns=["query_id", "vec_id", "score"])
 
     lists = tiles.each(products, "query_id long, vec_id long, score long")

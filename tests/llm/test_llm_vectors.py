@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from compare import difference
 
+from quernstone.llm import vectors
 from quernstone.llm.queries import ORACLES, QUERIES
 from quernstone.llm.vectors import exact_topk, nearest
 from quernstone.sources import load
@@ -57,6 +58,24 @@ def test_exact_topk_merges_many_tiles(spark):
     assert got == brute(rows, rows[:5], 3, product)
 
 
+def test_exact_topk_merges_at_the_registered_tile_size(spark):
+    """40,000 rows are eight tiles of 5,000, merged four at a time; scores are made in blocks."""
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(40_000, 8)).astype("f4")
+    v[::7] = v[3]  # ties between tiles
+    df = spark.createDataFrame([(i, row) for i, row in enumerate(v.tolist())], SCHEMA)
+    assert vectors._tile(df) == 5_000 and 40_000 // 5_000 > vectors.FAN_IN
+    whole = np.floor(1024 * v.astype("f8"))
+    expected = set()
+    for query in range(0, 40_000, 100):
+        scores = whole @ whole[query]
+        scores[query] = -np.inf
+        for n, i in enumerate(np.lexsort((np.arange(40_000), -scores))[:10], 1):
+            expected.add((query, n, int(i), int(scores[i])))
+    got = exact_topk(df, df.where("id % 100 = 0")).collect()
+    assert {tuple(r) for r in got} == expected and len(got) == len(expected)
+
+
 def test_exact_topk_of_large_numbers_few_rows_and_none(spark):
     rows = [(1, [3e5, 1.0]), (2, [2.5e5, 3.0]), (3, [-3e5, 2.0])]  # beyond 2**53
     df = spark.createDataFrame(rows, SCHEMA)
