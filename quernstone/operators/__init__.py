@@ -11,6 +11,7 @@ from quernstone.operators.joins import (
 from quernstone.operators.overlaps import overlap_join
 from quernstone.operators.patterns import VALLEYS, Automaton, matches
 from quernstone.operators.percentiles import exact_percentiles
+from quernstone.operators.samples import weighted_sample
 from quernstone.operators.sessions import funnel, sessionize
 from quernstone.operators.windows import sliding, top_k_per_key, trailing, tumbling
 
@@ -34,4 +35,5 @@ __all__ = [
     "trailing",
     "trailing_distinct",
     "tumbling",
+    "weighted_sample",
 ]

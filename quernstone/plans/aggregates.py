@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions import exact_sum, hundredths, shifted
-from quernstone.operators import exact_percentiles, top_k_per_key
+from quernstone.operators import exact_percentiles, top_k_per_key, weighted_sample
 from quernstone.plans.registry import query
 from quernstone.sources import load
 
@@ -213,3 +213,22 @@ def top3_orders_per_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
 def top_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100)
+
+
+@query(
+    """
+    WITH timed AS (
+      SELECT o_orderpriority, o_orderkey, o_totalprice,
+             -ln((CAST('0x' || substr(md5('1:' || o_orderkey), 1, 13) AS BIGINT) + 0.5::DOUBLE)
+                 / 4503599627370496::DOUBLE) / o_totalprice AS t
+      FROM orders WHERE o_totalprice > 0 AND isfinite(o_totalprice) AND o_orderkey IS NOT NULL
+    )
+    SELECT o_orderpriority, o_orderkey, o_totalprice, CAST(rank AS INTEGER) AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY t, o_orderkey) AS rank
+      FROM timed) WHERE rank <= 200
+    """
+)
+def weighted_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """200 orders of each priority, drawn in proportion to their price."""
+    orders = load(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice")
+    return weighted_sample(orders, ["o_orderpriority"], "o_orderkey", "o_totalprice", 200)
