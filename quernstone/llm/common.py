@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -28,6 +30,37 @@ def row_ids():
     return itertools.count(first)
 
 
+#: Columns of parameters that a task hands over, cut into parts that are added up apart;
+#: the tokens (or texts) that it learned from are its weight.
+PARTS = "start long, tokens long, part binary"
+_PART = 4_096
+
+
+def in_parts(flat: np.ndarray, tokens: int) -> pd.DataFrame:
+    """One task's parameters as rows of ``PARTS``; none without tokens."""
+    flat = flat.astype("f4")
+    starts = list(range(0, len(flat), _PART)) if tokens else []
+    return pd.DataFrame({"start": starts, "tokens": [tokens] * len(starts),
+                         "part": [flat[s : s + _PART].tobytes() for s in starts]})
+
+
+def averaged(parts: DataFrame) -> np.ndarray | None:
+    """The weighted mean of all tasks' parameters: the driver receives one set, however many tasks there are."""
+
+    def added(key, pdf):
+        pdf = pdf.sort_values(["tokens", "part"], kind="stable")
+        total = sum(
+            np.frombuffer(part, "f4").astype("f8") * tokens
+            for part, tokens in zip(pdf["part"], pdf["tokens"], strict=True)
+        )
+        mean = (total / pdf["tokens"].sum()).astype("f4")
+        return pdf.iloc[:1].assign(part=[mean.tobytes()])
+
+    rows = parts.groupBy("start").applyInPandas(added, PARTS).collect()
+    rows.sort(key=lambda r: r["start"])
+    return np.concatenate([np.frombuffer(r["part"], "f4") for r in rows]) if rows else None
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, or with underscores added until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}

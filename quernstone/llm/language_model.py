@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import row_ids, written
+from quernstone.llm.common import PARTS, averaged, in_parts, row_ids, written
 
 #: Frequent words every task knows (about 3 MB), and entries of the model's first level.
 FREQUENT, MODEL = 200_000, 384
@@ -464,7 +464,7 @@ def learn_all(model: LogBilinear, batches, ids, rng) -> int:
 
 def train_model(
     texts: DataFrame, ids: Units, unigram: np.ndarray, inside: np.ndarray, rounds: int = 1,
-    seed: int = 3, chunk: int = 4_096,
+    seed: int = 3,
 ) -> LogBilinear:
     """Average of what all tasks learn from their own texts, round by round.
 
@@ -474,6 +474,7 @@ def train_model(
     """
     model = LogBilinear(unigram, seed=seed, inside=inside)
     handed = texts.sparkSession.sparkContext.broadcast(ids)
+    parts = pa.schema([("start", pa.int64()), ("tokens", pa.int64()), ("part", pa.binary())])
     for number in range(rounds):
         start = texts.sparkSession.sparkContext.broadcast(model)
 
@@ -481,37 +482,13 @@ def train_model(
             ids, own = handed.value, LogBilinear(unigram, seed=seed, inside=inside)
             own.put(start.value.vector())
             tokens = learn_all(own, batches, ids, np.random.default_rng(seed + number))
-            flat = own.vector().astype("f4")
-            starts = list(range(0, len(flat), chunk)) if tokens else []
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(starts, pa.int64()), pa.array([tokens] * len(starts), pa.int64()),
-                 pa.array([flat[s : s + chunk].tobytes() for s in starts], pa.binary())],
-                names=["start", "tokens", "part"],
-            )
-
-        learned = texts.select("text").mapInArrow(
-            learn, "start long, tokens long, part binary"
-        )
-
-        def added(key, pdf):
-            pdf = pdf.sort_values(["tokens", "part"], kind="stable")
-            total = sum(
-                np.frombuffer(part, "f4").astype("f8") * tokens
-                for part, tokens in zip(pdf["part"], pdf["tokens"], strict=True)
-            )
-            mean = (total / pdf["tokens"].sum()).astype("f4")
-            return pdf.iloc[:1].assign(part=[mean.tobytes()])
+            yield pa.RecordBatch.from_pandas(in_parts(own.vector(), tokens), parts, preserve_index=False)
 
-        rows = (
-            learned.groupBy("start")
-            .applyInPandas(added, "start long, tokens long, part binary")
-            .collect()
-        )
-        if not rows:
+        flat = averaged(texts.select("text").mapInArrow(learn, PARTS))
+        if flat is None:
             break
-        rows.sort(key=lambda r: r["start"])
         model = LogBilinear(unigram, seed=seed, inside=inside)
-        model.put(np.concatenate([np.frombuffer(r["part"], "f4") for r in rows]))
+        model.put(flat)
     return model
 
 

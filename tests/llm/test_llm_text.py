@@ -158,6 +158,43 @@ def test_keys_of_all_kinds_in_texts_of_the_table(spark):
     assert sum(bool(spans(text)[1]) for text in unseen) < 0.01 * len(unseen)
 
 
+def test_network_learns_from_all_windows(spark, monkeypatch):
+    """However many: every window is dealt once, and several groups learn what one finds in keys it never saw."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("aeionrst") for _ in range(rng.randint(2, 9)))
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(18))
+    rows = []
+    for i in range(3_200):
+        run = "".join(word() for _ in range(6)).ljust(16, "e")
+        rows.append((i, f"{word()} password={key()} {word()}" if i % 20 == 0 else f"{word()} {run} {rng.randint(10**15, 10**16)} {word()}"))
+    rows += [(10_000 + i, f"{word()} {key()}0a {word()}") for i in range(100)]
+    expected = set()
+    for _, text in rows:
+        base = secrets.base_spans(text)
+        expected |= {(True, w) for _, _, b, v in base for _, w in secrets.cut(secrets.window(text, v, b))}
+        expected |= {(False, w) for a, b in secrets.candidates(text, base) for _, w in secrets.cut(secrets.window(text, a, b))}
+    windows = secrets.training_windows(secrets._candidates_of(documents(spark, rows), "doc_id", "text"))
+    got = windows.collect()
+    assert len(got) == len(expected) > 6_000 and {(r.known, r.window) for r in got} == expected
+    monkeypatch.setattr(secrets, "GROUP", 3_000)
+    monkeypatch.setattr(secrets, "BOTH", 100)
+    monkeypatch.setattr(secrets, "STEPS", 160)
+    n_known = sum(known for known, _ in expected)
+    placed = secrets.dealt(windows, n_known, len(expected) - n_known).collect()
+    assert {(r.known, r.window) for r in placed if r.copy == 0} == expected
+    assert len({r.group for r in placed}) == 3
+    for group in range(3):  # the rare class, too, is in every group
+        assert sum(r.known for r in placed if r.group == group) >= 50
+    # all but the rules' findings of other groups: only these are borrowed
+    assert all(r.known for r in placed if r.copy)
+    model = secrets.train_on_all(windows.where("NOT (window LIKE '%0a%' AND NOT known)"))
+    unseen = [w for text in (f"{word()} {key()} {word()}" for _ in range(200))
+              for a, b in secrets.candidates(text, []) for _, w in secrets.cut(secrets.window(text, a, b))]
+    assert (secrets.judged(model, unseen) > 0).mean() > 0.9
+    clean = [w for known, w in expected if not known and re.match(r"[aeionrst]{16}", w[secrets.BEFORE :])]
+    assert (secrets.judged(model, clean) > 0).mean() < 0.05
+
+
 def test_long_candidates_are_cut_without_gaps():
     text = "".join(chr(97 + i % 26) for i in range(331))
     for end in (16, 48, 49, 64, 65, 200, 331):
