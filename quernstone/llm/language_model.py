@@ -37,6 +37,8 @@ END = b"\n"  # no word holds white space
 _DISTINCT = 500_000  # words that a task counts before it passes them on
 _TOKENS = 500_000  # tokens trained or scored together
 _BLOCK = 512  # rows of a product that stays in the processor's cache
+#: Units whose part in a norm, as the near word, a scoring task keeps: those of the most frequent words (50 MB).
+NEAR = 32_768
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -139,6 +141,11 @@ class Units(dict):
     def slot(self, word: bytes) -> int:
         return zlib.crc32(word) % self.shared
 
+    def hashed(self, words: list[bytes]) -> np.ndarray:
+        """The units of words that are not in the table, at once."""
+        crc = np.fromiter(map(zlib.crc32, words), "i8", len(words))
+        return self.member(self.own + crc % self.shared)
+
     def __missing__(self, word: bytes) -> int:
         return self.member(self.own + self.slot(word))
 
@@ -152,7 +159,7 @@ class _RowSums:
     """Sums of the vectors that a batch adds to the same row, without sorting them."""
 
     def __init__(self, rows: int):
-        self.mark, self.place = np.zeros(rows, bool), np.zeros(rows, "i8")
+        self.place = np.zeros(rows, "i8")
 
     @staticmethod
     def whole(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -162,11 +169,11 @@ class _RowSums:
         return np.bincount(cells.ravel(), values.ravel(), n * width).reshape(n, width)
 
     def touched(self, rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rows that occur, in order, and their sums."""
-        self.mark[rows] = True
-        found = np.flatnonzero(self.mark)
-        self.mark[found] = False
-        self.place[found] = np.arange(len(found))
+        """The rows that occur, and their sums."""
+        entry = np.arange(len(rows))
+        self.place[rows] = entry
+        found = rows[self.place[rows] == entry]  # one entry of each row
+        self.place[found] = entry[: len(found)]
         return found, self.whole(self.place[rows], values, len(found))
 
 
@@ -218,17 +225,37 @@ class LogBilinear:
     def predicted(self, far: np.ndarray, near: np.ndarray) -> np.ndarray:
         return self.looked_up(far) * self.p["far"] + self.looked_up(near) * self.p["near"]
 
-    def context_tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """What every unit adds to a prediction as the far and as the near word.
+    def context_tables(self) -> tuple[np.ndarray, np.ndarray, tuple | None]:
+        """What every unit adds to a prediction as the far and as the near word, and ``near_factors``.
 
         A last column, 1 in all, meets the bias in products.
         """
         whole = self.looked_up(np.arange(self.units + 1))
         one = np.ones((len(whole), 1), "f4")
-        return (
-            np.concatenate([whole * self.p["far"], one], axis=1),
-            np.concatenate([whole * self.p["near"], one * 0], axis=1),
-        )
+        as_far = np.concatenate([whole * self.p["far"], one], axis=1)
+        as_near = np.concatenate([whole * self.p["near"], one * 0], axis=1)
+        return as_far, as_near, self.near_factors(as_far, as_near)
+
+    def near_factors(self, as_far, as_near) -> tuple[np.ndarray, np.ndarray] | None:
+        """Each unit's row, or -1, in a table of exp(what it adds to the first level's scores) as the near word.
+
+        A norm is the sum over the first level of exp(far part) * exp(near part): so the exponentials are
+        taken once a word, not once a context. None where a factor might leave the type's range.
+        """
+        target = self.p["target"]
+        high = _largest(as_far[:, :-1], target) + np.abs(self.p["bias"]).max()
+        if not max(high, _largest(as_near[:, :-1], target)) < 40:
+            return None
+        unit = np.arange(self.units)
+        member = unit - self.heads  # dealt to the classes in turn, frequent ones first
+        rank = self.heads + member % self.slots * (self.n - self.heads) + member // self.slots
+        rank[: self.heads] = unit[: self.heads]
+        row = np.append(np.where(rank < NEAR, rank, -1), -1)
+        kept = np.argsort(rank)[:NEAR]
+        table, turned = np.empty((len(kept), self.n), "f4"), np.ascontiguousarray(self.targets().T)
+        for at in range(0, len(kept), _BLOCK):
+            table[at : at + _BLOCK] = np.exp(np.take(as_near, kept[at : at + _BLOCK], axis=0) @ turned)
+        return row, table
 
     def targets(self) -> np.ndarray:
         """The first level's vectors, each with its bias as the last column."""
@@ -350,8 +377,8 @@ class LogBilinear:
         """Room for the logarithm of the sum of contexts without members: 5 MB for 768 words."""
         return np.full((self.heads + 1) ** 2, np.nan)
 
-    def _norms(self, far, near, q: np.ndarray, known: np.ndarray) -> np.ndarray:
-        """Per token; each distinct context is normalized once, and kept in ``known`` without members."""
+    def _norms(self, far, near, q: np.ndarray, known: np.ndarray, tables: tuple) -> np.ndarray:
+        """Per token; each distinct context without members is normalized once, and kept in ``known``."""
         f, n = (np.where(u == self.units, self.heads, u).astype("i8") for u in (far, near))
         often = ((far < self.heads) | (far == self.units)) & (
             (near < self.heads) | (near == self.units)
@@ -363,11 +390,38 @@ class LogBilinear:
         known[distinct[new]] = self.log_norms(q[often][at[new]])
         out[often] = known[context]
         rest = np.flatnonzero(~often)
-        _, at, back = np.unique(
-            far[rest].astype("i8") * (self.units + 1) + near[rest],
-            return_index=True, return_inverse=True,
-        )
-        out[rest] = self.log_norms(q[rest[at]])[back]
+        if tables[2] is not None:
+            row = tables[2][0][near[rest]]
+            by_factors, rest = rest[row >= 0], rest[row < 0]
+            out[by_factors] = self._factored(far[by_factors], near[by_factors], tables)
+        out[rest] = self.log_norms(q[rest])
+        return out
+
+    def _factored(self, far, near, tables: tuple) -> np.ndarray:
+        """The norms of contexts whose near words have rows in the table of ``near_factors``."""
+        as_far, _, (row, table) = tables
+        order = np.argsort(far)  # a far word's tokens follow each other
+        far, rows = far[order], row[near[order]]
+        first = np.ones(len(far), bool)
+        first[1:] = far[1:] != far[:-1]
+        sums, turned = np.empty(len(far)), np.ascontiguousarray(self.targets().T)
+        # blocks are put in the same memory, which stays in the cache
+        held = [np.empty((_BLOCK, self.n), "f4") for _ in range(3)]
+        for at in range(0, len(far), _BLOCK):
+            new = first[at : at + _BLOCK].copy()
+            new[0], m = True, len(new)
+            words_far = far[at : at + _BLOCK][new]
+            by_far, by_near, of_far = held[0][: len(words_far)], held[1][:m], held[2][:m]
+            np.matmul(np.take(as_far, words_far, axis=0), turned, out=by_far)
+            np.exp(by_far, out=by_far)
+            np.take(table, rows[at : at + _BLOCK], axis=0, mode="clip", out=by_near)
+            if len(words_far) == 1:
+                sums[at : at + _BLOCK] = by_near @ by_far[0]
+            else:
+                np.take(by_far, np.cumsum(new) - 1, axis=0, mode="clip", out=of_far)
+                sums[at : at + _BLOCK] = np.einsum("ij,ij->i", by_near, of_far)
+        out = np.empty(len(far))
+        out[order] = np.log(sums)
         return out
 
     def log_probabilities(
@@ -376,13 +430,15 @@ class LogBilinear:
         """Natural logarithms: of the entry of the first level, and of the member in its class."""
         known = self.known_norms() if known is None else known
         c = self.first(word)
-        as_far, as_near = tables or self.context_tables()
+        tables = tables or self.context_tables()
+        as_far, as_near, _ = tables
         q = np.take(as_far, far, axis=0)
         q += np.take(as_near, near, axis=0)
         score = np.einsum("ij,ij->i", q, np.take(self.targets(), c, axis=0))
-        out = score.astype("f8") - self._norms(far, near, q, known)
+        out = score.astype("f8") - self._norms(far, near, q, known, tables)
         inner = np.flatnonzero(word >= self.heads)
-        inner = inner[np.argsort(c[inner], kind="stable")]
+        # short numbers are sorted by their digits
+        inner = inner[np.argsort(c[inner].astype("u2" if self.n < 1 << 16 else "i8"), kind="stable")]
         cuts = np.searchsorted(c[inner], np.arange(self.heads, self.n + 1))
         # a weight of 0 adds nothing to its class, however low it is
         bias = np.abs(self.p["member"][self.inside > 0, -1]).max(initial=0)
@@ -447,7 +503,7 @@ def _flat_ids(texts: list[list[bytes]], ids: Units) -> tuple[np.ndarray, np.ndar
     flat = list(itertools.chain.from_iterable(texts))
     coded = np.fromiter(map(ids.get, flat, itertools.repeat(-1)), "i4", len(flat))
     lost = np.flatnonzero(coded < 0)
-    coded[lost] = model_ids([flat[i] for i in lost], ids)
+    coded[lost] = ids.hashed([flat[i] for i in lost])
     return coded, np.cumsum(lengths) - lengths
 
 
@@ -580,26 +636,33 @@ def score_documents(
             doc_ids, flags = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             texts, at = batch.column(1), 0
             while at < len(doc_ids):
-                first, group, size, others = at, [], 0, []
+                first, group, size = at, [], 0
                 while at < len(doc_ids) and size < _TOKENS:
                     group.append(words(texts[at].as_py()))
                     size += len(group[-1])
                     at += 1
                 lengths = np.array([len(tokens) for tokens in group])
                 starts = np.cumsum(lengths) - lengths
-                place = np.fromiter(
-                    map(rank.get, itertools.chain.from_iterable(group), itertools.repeat(-1)), "i4", size
-                )
+                flat = list(itertools.chain.from_iterable(group))
+                place = np.fromiter(map(rank.get, flat, itertools.repeat(-1)), "i4", size)
                 known = place >= 0
+                missing = np.flatnonzero(~known)
+                lost = [flat[i] for i in missing]
                 if len(units):
                     coded, logs = np.where(known, units[place], 0), np.where(known, logs_of[place], 0)
+                    coded[missing] = ids.hashed(lost)
                 else:
-                    coded, logs = np.zeros(size, "i4"), np.zeros(size)
-                unknown = [np.flatnonzero(~known[s : s + n]) for s, n in zip(starts, lengths, strict=True)]
-                for tokens, s, missing in zip(group, starts, unknown, strict=True):
-                    lost = [tokens[i] for i in missing]
-                    coded[s + missing] = model_ids(lost, ids)
-                    others.append([{"word": w, "times": k} for w, k in Counter(lost).items()])
+                    coded, logs = np.array(model_ids(flat, ids), "i4"), np.zeros(size)
+                ends = np.searchsorted(missing, starts + lengths).tolist()
+                counted = [Counter(lost[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+                others = pa.ListArray.from_arrays(
+                    np.cumsum([0, *map(len, counted)]).astype("i4"),
+                    pa.StructArray.from_arrays(
+                        [pa.array(list(itertools.chain.from_iterable(counted)), pa.binary()),
+                         pa.array(list(itertools.chain.from_iterable(c.values() for c in counted)), pa.int64())],
+                        names=["word", "times"],
+                    ),
+                )
                 n_known = np.add.reduceat(known.astype("i8"), starts)
                 base = np.add.reduceat(logs, starts) - lengths * outside
                 # inside a slot: add-one, with one share for the unseen
@@ -609,10 +672,10 @@ def score_documents(
                 own = model.log_probabilities(far, near, word, norms, tables) / np.log(10) + inside_slot
                 columns = [
                     [next(rows) for _ in group], doc_ids[first:at], flags[first:at], lengths.tolist(),
-                    n_known.tolist(), base.tolist(), np.add.reduceat(own, starts).tolist(), others,
+                    n_known.tolist(), base.tolist(), np.add.reduceat(own, starts).tolist(),
                 ]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)],
+                    [*(pa.array(c, f.type) for c, f in zip(columns, arrow, strict=False)), others],
                     schema=arrow,
                 )
 

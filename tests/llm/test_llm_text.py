@@ -232,6 +232,48 @@ def test_redaction_keeps_the_rest(spark):
     assert secrets.redacted("abcdef", [(1, 3), (2, 4), (5, 6)], "*") == "a*e*"
 
 
+def test_norms_from_factors_are_those_of_all_scores(monkeypatch):
+    """Whatever part of the near words has a row in the table, and where products would leave the range."""
+    rng = np.random.default_rng(4)
+    inside = np.array([[3.0, 2, 1], [2, 2, 0], [5, 1, 1], [1, 1, 1]])
+    for near_rows, scale in ((100, 1), (7, 1), (1, 1), (100, 60)):
+        monkeypatch.setattr(language_model, "NEAR", near_rows)
+        monkeypatch.setattr(language_model, "_BLOCK", 16)
+        model = language_model.LogBilinear(np.arange(7.0, 0, -1), size=4, inside=inside)
+        model.p["context"] = rng.normal(0, 1, model.p["context"].shape).astype("f4")
+        model.p["target"] = scale * rng.normal(0, 1, model.p["target"].shape).astype("f4")
+        model.p["member"] = rng.normal(0, 1, model.p["member"].shape).astype("f4")
+        assert (model.near_factors(*model.context_tables()[:2]) is None) == (scale > 1)
+        # some contexts occur often, as far words do
+        far, near = rng.integers(0, 16, 400) % 9, rng.integers(0, 16, 400)
+        far[:60] = rng.integers(0, 16, 60)
+        word = rng.integers(0, 15, 400)
+        z = model.predicted(far, near).astype("f8") @ model.p["target"].T.astype("f8") + model.p["bias"]
+        first = z - np.log(np.exp(z - z.max(1, keepdims=True)).sum(1, keepdims=True)) - z.max(1, keepdims=True)
+        expected = np.take_along_axis(first, model.first(word)[:, None], 1)[:, 0]
+        got = model.log_probabilities(far, near, word)
+        heads = word < model.heads
+        assert got[heads] == pytest.approx(expected[heads], abs=2e-4)
+        q = np.concatenate([model.predicted(far, near), np.ones((400, 1))], axis=1)
+        k = np.where(heads, 0, (word - model.heads) // model.slots)
+        members = model.p["member"].reshape(4, 3, -1)[k] @ q[:, :, None]
+        inner = members[:, :, 0] - np.log(np.exp(members[:, :, 0]).sum(1, keepdims=True))
+        whole = expected + np.take_along_axis(inner, ((word - model.heads) % model.slots)[:, None], 1)[:, 0]
+        assert got[~heads] == pytest.approx(whole[~heads], abs=2e-4)
+
+
+def test_words_without_a_unit_are_hashed_at_once():
+    units = language_model.Units({language_model.END: 0}, 1, 5, 9, 3)
+    lost = [b"w%d" % i for i in range(50)]
+    assert units.hashed(lost).tolist() == [units[w] for w in lost]
+    assert units.hashed([]).tolist() == []
+    sums = language_model._RowSums(9)
+    rows, values = np.array([7, 2, 7, 2, 8]), np.arange(10.0).reshape(5, 2)
+    for _ in range(2):  # nothing is left of the call before
+        found, got = sums.touched(rows, values)
+        assert sorted(zip(found.tolist(), got.tolist(), strict=True)) == [(2, [8, 10]), (7, [4, 6]), (8, [8, 9])]
+
+
 def test_language_model_counts(spark):
     rows = edge_rows() + [(i, f"the cat {i} sat on the mat the cat ran") for i in range(100, 160)]
     docs = documents(spark, rows)
