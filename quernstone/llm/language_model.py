@@ -432,10 +432,12 @@ class LogBilinear:
         c = self.first(word)
         tables = tables or self.context_tables()
         as_far, as_near, _ = tables
-        q = np.take(as_far, far, axis=0)
-        q += np.take(as_near, near, axis=0)
-        score = np.einsum("ij,ij->i", q, np.take(self.targets(), c, axis=0))
-        out = score.astype("f8") - self._norms(far, near, q, known, tables)
+        q, out, targets = np.take(as_far, far, axis=0), np.empty(len(far)), self.targets()
+        for at in range(0, len(far), _BLOCK * 16):
+            rows = slice(at, at + _BLOCK * 16)
+            q[rows] += np.take(as_near, near[rows], axis=0)
+            out[rows] = np.einsum("ij,ij->i", q[rows], np.take(targets, c[rows], axis=0))
+        out -= self._norms(far, near, q, known, tables)
         inner = np.flatnonzero(word >= self.heads)
         # short numbers are sorted by their digits
         inner = inner[np.argsort(c[inner].astype("u2" if self.n < 1 << 16 else "i8"), kind="stable")]
@@ -614,7 +616,14 @@ def score_documents(
         if n
         else LogBilinear(unigram, inside=inside)
     )
-    handed = docs.sparkSession.sparkContext.broadcast((c_of, ids, slots, model))
+    # one lookup a token: the word's rank gives its unit and its logarithm
+    ranked = [*c_of]
+    units_of_rank = np.array([ids[word] for word in ranked], "i4")
+    logs_of_rank = np.log10(np.array([*c_of.values()], "f8") + 1)
+    others_by_hash = Units({END: 0}, ids.heads, ids.own, ids.shared, ids.classes)
+    handed = docs.sparkSession.sparkContext.broadcast(
+        (ranked, units_of_rank, logs_of_rank, others_by_hash, slots, model)
+    )
 
     fields = [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()),
               ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()),
@@ -623,15 +632,12 @@ def score_documents(
     arrow = pa.schema(fields)
 
     def score(batches):
-        c_of, ids, slots, model = handed.value
+        ranked, units, logs_of, ids, slots, model = handed.value
         rows, norms, tables = row_ids(), model.known_norms(), model.context_tables()
         unit_slot = np.full(model.units, -1)  # of units that words share
         shared = np.arange(ids.shared)
         unit_slot[ids.member(ids.own + shared)] = shared
-        # one lookup a token: the word's rank gives its unit and its logarithm
-        rank = {word: i for i, word in enumerate(c_of)}
-        units = np.array([ids[word] for word in rank], "i4")
-        logs_of = np.log10(np.array([*c_of.values()], "f8") + 1)
+        rank = {word: i for i, word in enumerate(ranked)}
         for batch in batches:
             doc_ids, flags = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             texts, at = batch.column(1), 0
@@ -663,6 +669,7 @@ def score_documents(
                         names=["word", "times"],
                     ),
                 )
+                del group, flat, lost, counted  # the model needs the room
                 n_known = np.add.reduceat(known.astype("i8"), starts)
                 base = np.add.reduceat(logs, starts) - lengths * outside
                 # inside a slot: add-one, with one share for the unseen
@@ -671,7 +678,7 @@ def score_documents(
                 far, near, word = _around(coded.astype("i4"), starts, model.units)
                 own = model.log_probabilities(far, near, word, norms, tables) / np.log(10) + inside_slot
                 columns = [
-                    [next(rows) for _ in group], doc_ids[first:at], flags[first:at], lengths.tolist(),
+                    list(itertools.islice(rows, at - first)), doc_ids[first:at], flags[first:at], lengths.tolist(),
                     n_known.tolist(), base.tolist(), np.add.reduceat(own, starts).tolist(),
                 ]
                 yield pa.RecordBatch.from_arrays(
