@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame
 from quernstone.session import scratch
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, options: dict | None = None) -> DataFrame:
     """``df`` as a table in the shared folder: read back, it has no lineage to recompute.
 
     Lost executors cost only the running step, and a step that reads the table
-    twice sees the same rows both times.
+    twice sees the same rows both times. ``options`` are the writer's.
     """
     path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -18,10 +18,10 @@ from __future__ import annotations
 
 import itertools
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +34,15 @@ FREQUENT, MODEL = 200_000, 384
 #: First level and classes are of about one size: a rare token is normalized over both.
 CLASSES, OWN, SHARED = 256, 33_408, 32_768
 END = b"\n"  # no word holds white space
-_DISTINCT = 500_000  # words that a task counts before it passes them on
+_LOG2E = np.float32(np.log2(np.e))  # powers of 2 take half the time of those of e
+_COUNTED = 2_000_000  # counts of groups that a task adds up before it passes them on
 _TOKENS = 500_000  # tokens trained or scored together
+#: Few large rows: their sizes are looked at one by one, so neither side holds more than some of them.
+_LARGE_ROWS = {
+    "parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1,
+    "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1, "parquet.enable.dictionary": "false",
+    "compression": "zstd",
+}
 _BLOCK = 512  # rows of a product that stays in the processor's cache
 #: Units whose part in a norm, as the near word, a scoring task keeps: those of the most frequent words (50 MB).
 NEAR = 32_768
@@ -51,28 +58,99 @@ def held_out(id_column: Column) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """``word, c`` of the binary column ``text``, each task's words added up before the shuffle."""
+def _in_planes(codes: np.ndarray) -> bytes:
+    """Four bytes a number, all lowest bytes first: the upper ones, mostly 0, take next to no room on disk."""
+    return codes.astype("<i4").view("u1").reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(planes: bytes) -> np.ndarray:
+    return np.frombuffer(planes, "u1").reshape(4, -1).T.copy().view("<i4")[:, 0]
+
+
+def coded_texts(texts: DataFrame) -> DataFrame:
+    """Groups of the rows of ``doc_id, text, held_out``, their words told apart once for all steps that follow.
+
+    A row holds a group: the number of its first row, ids, flags and numbers of tokens of its rows,
+    its distinct words, joined by spaces, how often each occurs in texts to learn from, and every
+    token's word among them. Numbers are written by ``_in_planes``.
+    """
+    arrow = pa.schema([
+        ("row", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())),
+        ("lengths", pa.list_(pa.int64())), ("words", pa.binary()), ("times", pa.binary()), ("codes", pa.binary()),
+    ])
+
+    def coded(rows, doc_ids, held, group):
+        lengths = [len(tokens) for tokens in group]
+        places, size = {}, sum(lengths)
+        # where each token's word occurs first
+        codes = np.fromiter(map(places.setdefault, itertools.chain.from_iterable(group), range(size)), "i4", size)
+        # the most frequent words come first, so most of the upper bytes are 0
+        starts = np.fromiter(places.values(), "i8", len(places))
+        order = np.argsort(-np.bincount(codes, minlength=size)[starts], kind="stable")
+        number = np.empty(size, "i4")
+        number[starts[order]] = np.arange(len(places))
+        codes = number[codes]
+        learned = np.repeat([flag is False for flag in held], lengths)
+        times = np.bincount(codes[learned], minlength=len(places))
+        distinct = list(places)
+        first = list(itertools.islice(rows, len(lengths)))[0]
+        columns = [
+            first, doc_ids, held, lengths, b" ".join([distinct[i] for i in order.tolist()]),
+            _in_planes(times), _in_planes(codes),
+        ]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([c], f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow
+        )
+
+    def code(batches):
+        rows = row_ids()
+        doc_ids, held, group, size, learned = [], [], [], 0, 0
+        for batch in batches:
+            for doc_id, text, flag in zip(
+                batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True
+            ):
+                tokens = words(text.as_py())
+                doc_ids.append(doc_id)
+                held.append(flag)
+                group.append(tokens)
+                size += len(tokens)
+                learned += len(tokens) if flag is False else 0
+                if learned >= _TOKENS or size >= 2 * _TOKENS:
+                    yield coded(rows, doc_ids, held, group)
+                    doc_ids, held, group, size, learned = [], [], [], 0, 0
+        if group:
+            yield coded(rows, doc_ids, held, group)
+
+    return texts.select("doc_id", "text", "held_out").mapInArrow(
+        code,
+        "row long, doc_ids array<long>, held array<boolean>, lengths array<long>, words binary, times binary, "
+        "codes binary",
+    )
+
+
+def word_counts(coded: DataFrame) -> DataFrame:
+    """``word, c`` of all texts to learn from, each task's groups added up before the shuffle."""
     arrow = pa.schema([("word", pa.binary()), ("c", pa.int64())])
 
     def count(batches):
-        seen: Counter = Counter()
+        held, n = [], 0
 
         def flush():
-            columns = [list(seen.keys()), list(seen.values())]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow
-            )
+            table = pa.concat_tables(held).group_by("word").aggregate([("c", "sum")])
+            return table.rename_columns({"c_sum": "c"}).select(["word", "c"]).cast(arrow).combine_chunks().to_batches()
+
+        for group in _groups(batches):
+            times = _from_planes(group["times"].as_buffer())
+            table = pa.table([pa.array(group["words"], pa.binary()), pa.array(times, pa.int64())], schema=arrow)
+            held.append(table.filter(pc.field("c") > 0))
+            n += len(times)
+            if n >= _COUNTED:
+                yield from flush()
+                held, n = [], 0
+        if held:
+            yield from flush()
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(words(text))
-                if len(seen) >= _DISTINCT:
-                    yield flush()
-                    seen.clear()
-        yield flush()
-
-    counted = texts.select("text").mapInArrow(count, "word binary, c long")
+    counted = coded.select("words", "times").mapInArrow(count, "word binary, c long")
     return counted.groupBy("word").agg(F.sum("c").alias("c"))
 
 
@@ -97,9 +175,13 @@ def frequent_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     """In place; a logit too low for the type gives 0."""
+    return _sigmoid_of_negative(np.negative(x, out=x))
+
+
+def _sigmoid_of_negative(x: np.ndarray, exp=np.exp) -> np.ndarray:
+    """The same, of logits with their signs turned; for ``exp2`` times ``_LOG2E``."""
     with np.errstate(over="ignore"):
-        np.negative(x, out=x)
-        np.exp(x, out=x)
+        exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
@@ -112,15 +194,15 @@ def _largest(q: np.ndarray, t: np.ndarray) -> float:
 
 
 def _log_sums(z: np.ndarray, small: bool = False) -> np.ndarray:
-    """Logarithm of each row's sum of exp(z), all within 60 if ``small``; ``z`` is used up."""
+    """Logarithm of each row's sum of exp2(z), all within 86 if ``small``; ``z`` is used up."""
     top = None
-    if not small and z.size and not -60 < z.min() <= z.max() < 60:
+    if not small and z.size and not -86 < z.min() <= z.max() < 86:
         top = z.max(axis=1)
     if top is not None:
         z -= top[:, None]
-    np.exp(z, out=z)
+    np.exp2(z, out=z)
     sums = np.log((z @ np.ones(z.shape[1], z.dtype)).astype("f8"))
-    return sums if top is None else top + sums
+    return sums if top is None else top / _LOG2E + sums
 
 
 class Units(dict):
@@ -161,20 +243,46 @@ class _RowSums:
     def __init__(self, rows: int):
         self.place = np.zeros(rows, "i8")
 
+    @staticmethod
+    def _add(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Of an even number of columns two are added as one complex number."""
+        if values.shape[1] % 2 == 0:
+            kind = np.result_type(values.dtype, "c8")
+            _RowSums._add_pairs(out.view(kind), rows, values.view(kind))
+        else:
+            _RowSums._add_pairs(out, rows, values)
+        return out
+
+    @staticmethod
+    def _add_pairs(out, rows, values):
+        cells = (rows * values.shape[1])[:, None] + np.arange(values.shape[1])
+        np.add.at(out.reshape(-1), cells.reshape(-1), values.reshape(-1))
+
     @staticmethod
     def whole(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
         """The sums of all ``n`` rows."""
-        width = values.shape[1]
-        cells = (rows.astype("i8") * width)[:, None] + np.arange(width)
-        return np.bincount(cells.ravel(), values.ravel(), n * width).reshape(n, width)
+        return _RowSums._add(np.zeros((n, values.shape[1]), values.dtype), rows, values)
 
-    def touched(self, rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rows that occur, and their sums."""
+    def places(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rows that occur, the place of each entry's row among them, and one entry of each row."""
         entry = np.arange(len(rows))
         self.place[rows] = entry
-        found = rows[self.place[rows] == entry]  # one entry of each row
+        once = self.place[rows] == entry
+        found = rows[once]
         self.place[found] = entry[: len(found)]
-        return found, self.whole(self.place[rows], values, len(found))
+        return found, self.place[rows], once
+
+    @staticmethod
+    def summed(place: np.ndarray, once: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """The sums of the rows found: of each the one entry, and then what repeats it."""
+        more = np.flatnonzero(~once)
+        out = np.take(values, np.flatnonzero(once), axis=0)
+        return _RowSums._add(out, place[more], np.take(values, more, axis=0))
+
+    def touched(self, rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows that occur, and their sums."""
+        found, place, once = self.places(rows)
+        return found, self.summed(place, once, values)
 
 
 class LogBilinear:
@@ -236,26 +344,30 @@ class LogBilinear:
         as_near = np.concatenate([whole * self.p["near"], one * 0], axis=1)
         return as_far, as_near, self.near_factors(as_far, as_near)
 
-    def near_factors(self, as_far, as_near) -> tuple[np.ndarray, np.ndarray] | None:
+    def near_factors(self, as_far, as_near) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         """Each unit's row, or -1, in a table of exp(what it adds to the first level's scores) as the near word.
 
         A norm is the sum over the first level of exp(far part) * exp(near part): so the exponentials are
-        taken once a word, not once a context. None where a factor might leave the type's range.
+        taken once a word, not once a context. Last, whether a unit as the far word keeps its factors in
+        the type's range; near words that might leave it have no row. None where most units might.
         """
         target = self.p["target"]
-        high = _largest(as_far[:, :-1], target) + np.abs(self.p["bias"]).max()
-        if not max(high, _largest(as_near[:, :-1], target)) < 40:
+        longest = np.sqrt(np.einsum("ij,ij->i", target, target).max())
+        far, near = (np.sqrt(np.einsum("ij,ij->i", x[:, :-1], x[:, :-1])) * longest for x in (as_far, as_near))
+        far, near = far + np.abs(self.p["bias"]).max() < 40, near < 40
+        if 2 * min(far.sum(), near.sum()) < len(far):
             return None
         unit = np.arange(self.units)
         member = unit - self.heads  # dealt to the classes in turn, frequent ones first
         rank = self.heads + member % self.slots * (self.n - self.heads) + member // self.slots
         rank[: self.heads] = unit[: self.heads]
-        row = np.append(np.where(rank < NEAR, rank, -1), -1)
+        row = np.append(np.where((rank < NEAR) & near[:-1], rank, -1), -1)
         kept = np.argsort(rank)[:NEAR]
         table, turned = np.empty((len(kept), self.n), "f4"), np.ascontiguousarray(self.targets().T)
         for at in range(0, len(kept), _BLOCK):
-            table[at : at + _BLOCK] = np.exp(np.take(as_near, kept[at : at + _BLOCK], axis=0) @ turned)
-        return row, table
+            z = np.take(as_near, kept[at : at + _BLOCK], axis=0) @ turned
+            np.exp(np.minimum(z, 80, out=z), out=table[at : at + _BLOCK])
+        return row, table, far
 
     def targets(self) -> np.ndarray:
         """The first level's vectors, each with its bias as the last column."""
@@ -281,93 +393,101 @@ class LogBilinear:
         On the first level the words of a batch share their noise words; inside the classes
         every word has noise members of its own.
         """
-        squares = {k: np.full(v.shape, 1e-6, "f4") for k, v in self.p.items()}
-        # a word's vector has one mean square, which keeps half of the memory out of the caches
-        squares["context"] = np.full(len(self.p["context"]), 1e-6, "f4")
-        squares["member"] = np.full(len(self.p["member"]), 1e-6, "f4")
-        cumulated, share = np.cumsum(self.unigram), np.log(noise * self.unigram).astype("f4")
+        p, size, most = self.p, self.size, max(len(word), 1)
+        # after each vector its bias, which meets a 1, and a column that meets a 0: there lies a word's
+        # mean square, one for all of its vector, so that a row is all that a batch fetches of a word
+        small = [np.full((len(t), 1), 1e-6, "f4") for t in (p["context"], p["member"])]
+        target = np.concatenate([self.targets(), np.zeros((self.n, 1), "f4")], axis=1)
+        context = np.concatenate([p["context"], 0 * small[0], small[0]], axis=1)
+        member = np.concatenate([p["member"], small[1]], axis=1)
+        weights = np.stack([p["far"], p["near"], p["rest"]])
+        squares = [np.full(t.shape, 1e-6, "f4") for t in (target, weights)]
+        share = np.log(noise * self.unigram).astype("f4")
         sums = _RowSums(max(self.units + 1, len(self.inside)))
-        members = self._noise_members(rng) if len(self.inside) else None
         member_share = self.log_inside + np.float32(np.log(member_noise))
-        p = self.p
-
-        def step(key, g):
-            squares[key] += g * g
+        # what is drawn, for all batches at once
+        draws = rng.random((-(-most // batch), noise))
+        noises = np.minimum(np.searchsorted(np.cumsum(self.unigram), draws), self.n - 1)
+        entries, others = self.first(word), None
+        if len(self.inside):
+            members = self._noise_members(rng)
+            others = np.maximum(entries - self.heads, 0)[:, None] * members.shape[1]
+            others = np.take(members, others + rng.integers(0, members.shape[1], (len(word), member_noise)))
+
+        def step(table, square, g):
+            square += g * g
             g *= np.float32(rate)
-            g /= np.sqrt(squares[key])
-            p[key] += g
+            g /= np.sqrt(square)
+            table += g
 
-        def sparse(key, rows, values, m):
+        def sparse(table, rows, before, g, columns):
             """Only the rows that a batch touches change."""
-            touched, g = sums.touched(rows, values)
-            g = (g / m).astype("f4")
-            square = squares[key][touched]
-            square += np.einsum("ij,ij->i", g, g) / np.float32(g.shape[1])
-            squares[key][touched] = square
+            square = before[:, -1] + np.einsum("ij,ij->i", g, g) / np.float32(columns)
             g *= (np.float32(rate) / np.sqrt(square))[:, None]
-            g += np.take(p[key], touched, axis=0)
-            _whole_rows(p[key])[touched] = _whole_rows(g)
-
-        for at in range(0, len(word), batch):
-            f, n, w = far[at : at + batch], near[at : at + batch], word[at : at + batch]
-            drawn = np.minimum(np.searchsorted(cumulated, rng.random(noise)), self.n - 1)
-            rf, rn, c, m = self.looked_up(f), self.looked_up(n), self.first(w), len(w)
-            q = rf * p["far"] + rn * p["near"]
+            g += before
+            g[:, -1] = square
+            _whole_rows(table)[rows] = _whole_rows(g)
+
+        for number, at in enumerate(range(0, len(word), batch)):
+            w, c, drawn = word[at : at + batch], entries[at : at + batch], noises[number]
+            m, part = len(w), np.float32(1 / len(w))
+            # each unit of the batch is fetched once
+            units, place, once = sums.places(np.concatenate([far[at : at + batch], near[at : at + batch]]))
+            before, common = np.take(context, units, axis=0), self._is_member(units)
+            vectors = before[:, :size] + common * weights[2]
+            rows = np.take(vectors, place, axis=0)
+            q = np.zeros((m, size + 2), "f4")
+            np.multiply(rows[:m], weights[0], out=q[:, :size])
+            q[:, :size] += rows[m:] * weights[1]
+            q[:, size] = 1
             # log of model score over (noise words x noise probability)
-            gain = p["bias"] - share
-            dq = np.take(p["target"], c, axis=0)
-            true = np.einsum("ij,ij->i", q, dq) + gain[c]
-            up = _sigmoid(-true)  # wants the true word higher
+            dq = np.take(target, c, axis=0)
+            up = _sigmoid_of_negative(np.einsum("ij,ij->i", q, dq) - share[c])  # wants the true word higher
             dq *= up[:, None]
-            noisy, offset = p["target"][drawn], gain[drawn]
-            away, fewer = np.zeros_like(noisy), np.zeros_like(offset)
-            for b in range(0, m, _BLOCK):  # and the noise lower
-                part = q[b : b + _BLOCK]
-                down = part @ noisy.T
-                down += offset
-                down = _sigmoid(down)
-                dq[b : b + _BLOCK] -= down @ noisy
-                away += down.T @ part
-                fewer += down.sum(0)
+            noisy = np.take(target, drawn, axis=0)
+            against = -noisy
+            against[:, size] += share[drawn]
+            down = _sigmoid_of_negative(q @ (against * _LOG2E).T, np.exp2)  # and the noise lower
+            dq -= down @ noisy
+            away = down.T @ q
             inner = np.flatnonzero(w >= self.heads)
             if len(inner):
-                own = w[inner] - self.heads
-                others = members[
-                    (own // self.slots)[:, None],
-                    rng.integers(0, members.shape[1], (len(own), member_noise)),
-                ]
-                asked = np.concatenate([own[:, None], others], axis=1)
-                t = np.take(p["member"], asked, axis=0)
-                q1 = np.ones((len(inner), self.size + 1), "f4")
-                q1[:, :-1] = np.take(q, inner, axis=0)
-                z = np.einsum("ijk,ik->ij", t, q1) - member_share[asked]
-                pull = -_sigmoid(z)
+                own = (w[inner] - self.heads).astype("i8")
+                asked = np.concatenate([own[:, None], others[at + inner]], axis=1)
+                t = np.take(member, asked, axis=0)
+                q1 = np.take(q, inner, axis=0)
+                pull = -_sigmoid(np.einsum("ijk,ik->ij", t, q1) - member_share[asked])
                 pull[:, 0] += 1
                 g = np.take(dq, inner, axis=0)
-                g += np.einsum("ij,ijk->ik", pull, t)[:, :-1]
+                g += np.einsum("ij,ijk->ik", pull, t)
                 _whole_rows(dq)[inner] = _whole_rows(g)
-            target = sums.whole(c, up[:, None] * q, self.n)
-            target -= sums.whole(drawn, away, self.n)
-            g = {
-                "target": target,
-                "bias": np.bincount(c, up, self.n) - np.bincount(drawn, fewer, self.n),
-                "far": np.einsum("ij,ij->j", dq, rf),
-                "near": np.einsum("ij,ij->j", dq, rn),
-                "rest": (self._is_member(f).T @ dq)[0] * p["far"]
-                + (self._is_member(n).T @ dq)[0] * p["near"],
-            }
-            both = np.concatenate([dq * p["far"], dq * p["near"]])
-            sparse("context", np.concatenate([f, n]), both, m)
-            if len(inner):
-                moves = (pull[:, :, None] * q1[:, None, :]).reshape(-1, self.size + 1)
-                sparse("member", asked.ravel(), moves, m)
-            for k, v in g.items():
-                step(k, (v / m).astype("f4"))
+                pull *= part
+                moves = pull[:, :, None] * q1[:, None, :]
+                changed, g = sums.touched(asked.reshape(-1), moves.reshape(-1, moves.shape[2]))
+                sparse(member, changed, np.take(member, changed, axis=0), g, size + 1)
+            dq *= part
+            up *= part
+            g = sums.whole(c, up[:, None] * q, self.n)
+            away *= part
+            g -= sums.whole(drawn, away, self.n)
+            dq = dq[:, :size]
+            both = np.zeros((2 * m, size + 2), "f4")
+            np.multiply(dq, weights[0], out=both[:m, :size])
+            np.multiply(dq, weights[1], out=both[m:, :size])
+            moved = sums.summed(place, once, both)
+            turns = [np.einsum("ij,ij->j", dq, rows[:m]), np.einsum("ij,ij->j", dq, rows[m:])]
+            step(weights, squares[1], np.stack([*turns, common[:, 0] @ moved[:, :size]]))
+            step(target, squares[0], g)
+            sparse(context, units, before, moved, size)
+
+        p["target"], p["bias"] = target[:, :size].copy(), target[:, size].copy()
+        p["context"], p["member"] = context[:, :size].copy(), member[:, : size + 1].copy()
+        p["far"], p["near"], p["rest"] = weights
 
     def log_norms(self, q: np.ndarray, block: int = _BLOCK) -> np.ndarray:
         """Logarithm of the sum over the first level of exp(score), per prediction and its 1."""
         out = np.empty(len(q))
-        turned = np.ascontiguousarray(self.targets().T)
+        turned = np.ascontiguousarray(self.targets().T) * _LOG2E
         small = _largest(q[:, :-1], self.p["target"]) + np.abs(self.p["bias"]).max() < 60
         for at in range(0, len(q), block):
             out[at : at + block] = _log_sums(q[at : at + block] @ turned, small)
@@ -391,17 +511,23 @@ class LogBilinear:
         out[often] = known[context]
         rest = np.flatnonzero(~often)
         if tables[2] is not None:
-            row = tables[2][0][near[rest]]
-            by_factors, rest = rest[row >= 0], rest[row < 0]
+            row, _, fits = tables[2]
+            whole = (row[near[rest]] >= 0) & fits[far[rest]]
+            by_factors, rest = rest[whole], rest[~whole]
             out[by_factors] = self._factored(far[by_factors], near[by_factors], tables)
         out[rest] = self.log_norms(q[rest])
         return out
 
     def _factored(self, far, near, tables: tuple) -> np.ndarray:
         """The norms of contexts whose near words have rows in the table of ``near_factors``."""
-        as_far, _, (row, table) = tables
-        order = np.argsort(far)  # a far word's tokens follow each other
-        far, rows = far[order], row[near[order]]
+        as_far, _, (row, table, _) = tables
+        key = far.astype("i8") * (self.units + 1) + near
+        order = np.argsort(key)  # a far word's tokens follow each other, as do those of a context
+        key = key[order]
+        other = np.ones(len(key), bool)
+        other[1:] = key[1:] != key[:-1]
+        distinct = order[other]
+        far, rows = far[distinct], row[near[distinct]]
         first = np.ones(len(far), bool)
         first[1:] = far[1:] != far[:-1]
         sums, turned = np.empty(len(far)), np.ascontiguousarray(self.targets().T)
@@ -415,13 +541,15 @@ class LogBilinear:
             np.matmul(np.take(as_far, words_far, axis=0), turned, out=by_far)
             np.exp(by_far, out=by_far)
             np.take(table, rows[at : at + _BLOCK], axis=0, mode="clip", out=by_near)
-            if len(words_far) == 1:
-                sums[at : at + _BLOCK] = by_near @ by_far[0]
+            if len(words_far) <= 8:
+                cuts = [*np.flatnonzero(new).tolist(), m]
+                for k, (low, high) in enumerate(itertools.pairwise(cuts)):
+                    sums[at + low : at + high] = by_near[low:high] @ by_far[k]
             else:
                 np.take(by_far, np.cumsum(new) - 1, axis=0, mode="clip", out=of_far)
-                sums[at : at + _BLOCK] = np.einsum("ij,ij->i", by_near, of_far)
-        out = np.empty(len(far))
-        out[order] = np.log(sums)
+                sums[at : at + _BLOCK] = np.vecdot(by_near, of_far)
+        out = np.empty(len(key))
+        out[order] = np.log(sums)[np.cumsum(other) - 1]
         return out
 
     def log_probabilities(
@@ -446,12 +574,12 @@ class LogBilinear:
         bias = np.abs(self.p["member"][self.inside > 0, -1]).max(initial=0)
         small = _largest(q[:, :-1], self.p["member"][:, :-1]) + bias < 60
         for k, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            t = np.ascontiguousarray(self.p["member"][k * self.slots : (k + 1) * self.slots].T)
+            t = np.ascontiguousarray(self.p["member"][k * self.slots : (k + 1) * self.slots].T) * _LOG2E
             for at in range(low, high, _BLOCK):
                 rows = inner[at : min(at + _BLOCK, high)]
                 z = np.take(q, rows, axis=0) @ t
                 mine = z[np.arange(len(rows)), word[rows] - self.heads - k * self.slots]
-                out[rows] += mine.astype("f8") - _log_sums(z, small)
+                out[rows] += mine.astype("f8") / _LOG2E - _log_sums(z, small)
         return out
 
     def vector(self) -> np.ndarray:
@@ -499,21 +627,49 @@ def _gathered(batches, column: int = 0):
         yield held
 
 
+def _units(words: list[bytes], ids: Units) -> np.ndarray:
+    coded = np.fromiter(map(ids.get, words, itertools.repeat(-1)), "i4", len(words))
+    lost = np.flatnonzero(coded < 0)
+    coded[lost] = ids.hashed([words[i] for i in lost])
+    return coded
+
+
 def _flat_ids(texts: list[list[bytes]], ids: Units) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all words, one text after another, and the place where each text starts."""
     lengths = np.array([len(t) for t in texts])
-    flat = list(itertools.chain.from_iterable(texts))
-    coded = np.fromiter(map(ids.get, flat, itertools.repeat(-1)), "i4", len(flat))
-    lost = np.flatnonzero(coded < 0)
-    coded[lost] = ids.hashed([flat[i] for i in lost])
-    return coded, np.cumsum(lengths) - lengths
+    return _units(list(itertools.chain.from_iterable(texts)), ids), np.cumsum(lengths) - lengths
 
 
-def learn_all(model: LogBilinear, batches, ids, rng) -> int:
+def text_groups(batches, ids: Units):
+    """``_flat_ids`` of groups of the texts in the first column."""
+    for group in _gathered(batches):
+        yield _flat_ids(group, ids)
+
+
+def _groups(batches):
+    """The rows of ``coded_texts``, one at a time: each column's value, words as a list."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {name: batch.column(k)[i] for k, name in enumerate(batch.schema.names)}
+            yield row | {"words": row["words"].as_py().split(b" ")}
+
+
+def coded_groups(batches, ids: Units):
+    """The same of rows of ``coded_texts``, of which only texts to learn from are taken."""
+    for group in _groups(batches):
+        learned = np.array([flag is False for flag in group["held"].as_py()])
+        if learned.any():
+            lengths = group["lengths"].values.to_numpy()
+            codes = _from_planes(group["codes"].as_buffer())[np.repeat(learned, lengths)]
+            lengths = lengths[learned]
+            yield _units(group["words"], ids)[codes], np.cumsum(lengths) - lengths
+
+
+def learn_all(model: LogBilinear, batches, ids, rng, groups=text_groups) -> int:
     """Tokens of the batches, all of which the model has learned from."""
     tokens = 0
-    for group in _gathered(batches):
-        far, near, word = _around(*_flat_ids(group, ids), model.units)
+    for group in groups(batches, ids):
+        far, near, word = _around(*group, model.units)
         order = rng.permutation(len(word))
         model.train(far[order], near[order], word[order], rng)
         tokens += len(word)
@@ -522,10 +678,11 @@ def learn_all(model: LogBilinear, batches, ids, rng) -> int:
 
 def train_model(
     texts: DataFrame, ids: Units, unigram: np.ndarray, inside: np.ndarray, rounds: int = 1,
-    seed: int = 3,
+    seed: int = 3, coded: bool = False,
 ) -> LogBilinear:
     """Average of what all tasks learn from their own texts, round by round.
 
+    ``texts`` holds texts in its column ``text``, or is what ``coded_texts`` gives, as ``coded`` tells.
     Every round goes over every text. A task's parameters come back in chunks; Spark adds
     them up, weighted by tokens, so the driver receives one set of parameters however many tasks
     there are.
@@ -539,10 +696,12 @@ def train_model(
         def learn(batches, number=number, start=start):
             ids, own = handed.value, LogBilinear(unigram, seed=seed, inside=inside)
             own.put(start.value.vector())
-            tokens = learn_all(own, batches, ids, np.random.default_rng(seed + number))
+            groups = coded_groups if coded else text_groups
+            tokens = learn_all(own, batches, ids, np.random.default_rng(seed + number), groups)
             yield pa.RecordBatch.from_pandas(in_parts(own.vector(), tokens), parts, preserve_index=False)
 
-        flat = averaged(texts.select("text").mapInArrow(learn, PARTS))
+        columns = ["held", "lengths", "words", "codes"] if coded else ["text"]
+        flat = averaged(texts.select(*columns).mapInArrow(learn, PARTS))
         if flat is None:
             break
         model = LogBilinear(unigram, seed=seed, inside=inside)
@@ -600,8 +759,8 @@ def score_documents(
         F.col(text_col).cast("string").cast("binary").alias("text"),
         held(F.col(id_col)).alias("held_out"),
     )
-    learn_from = texts.where(~F.col("held_out"))
-    counts = written(word_counts(learn_from), "word-counts")
+    coded = written(coded_texts(texts), "coded-texts", _LARGE_ROWS)
+    counts = written(word_counts(coded), "word-counts")
     end = F.sum(F.when(F.col("word") == F.lit(END), F.col("c")))
     n, v, c_end = counts.agg(F.sum("c"), F.count("*"), end).first()
     n, c_end = n or 0, c_end or 0
@@ -612,7 +771,7 @@ def score_documents(
     ids, unigram, inside, slots = units_of(counts, known, c_end, v, vocabulary)
     outside = np.log10(n + v + 1)
     model = (
-        train_model(learn_from, ids, unigram, inside, rounds)
+        train_model(coded, ids, unigram, inside, rounds, coded=True)
         if n
         else LogBilinear(unigram, inside=inside)
     )
@@ -633,61 +792,52 @@ def score_documents(
 
     def score(batches):
         ranked, units, logs_of, ids, slots, model = handed.value
-        rows, norms, tables = row_ids(), model.known_norms(), model.context_tables()
+        norms, tables = model.known_norms(), model.context_tables()
         unit_slot = np.full(model.units, -1)  # of units that words share
         shared = np.arange(ids.shared)
         unit_slot[ids.member(ids.own + shared)] = shared
         rank = {word: i for i, word in enumerate(ranked)}
-        for batch in batches:
-            doc_ids, flags = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            texts, at = batch.column(1), 0
-            while at < len(doc_ids):
-                first, group, size = at, [], 0
-                while at < len(doc_ids) and size < _TOKENS:
-                    group.append(words(texts[at].as_py()))
-                    size += len(group[-1])
-                    at += 1
-                lengths = np.array([len(tokens) for tokens in group])
-                starts = np.cumsum(lengths) - lengths
-                flat = list(itertools.chain.from_iterable(group))
-                place = np.fromiter(map(rank.get, flat, itertools.repeat(-1)), "i4", size)
-                known = place >= 0
-                missing = np.flatnonzero(~known)
-                lost = [flat[i] for i in missing]
-                if len(units):
-                    coded, logs = np.where(known, units[place], 0), np.where(known, logs_of[place], 0)
-                    coded[missing] = ids.hashed(lost)
-                else:
-                    coded, logs = np.array(model_ids(flat, ids), "i4"), np.zeros(size)
-                ends = np.searchsorted(missing, starts + lengths).tolist()
-                counted = [Counter(lost[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
-                others = pa.ListArray.from_arrays(
-                    np.cumsum([0, *map(len, counted)]).astype("i4"),
-                    pa.StructArray.from_arrays(
-                        [pa.array(list(itertools.chain.from_iterable(counted)), pa.binary()),
-                         pa.array(list(itertools.chain.from_iterable(c.values() for c in counted)), pa.int64())],
-                        names=["word", "times"],
-                    ),
-                )
-                del group, flat, lost, counted  # the model needs the room
-                n_known = np.add.reduceat(known.astype("i8"), starts)
-                base = np.add.reduceat(logs, starts) - lengths * outside
-                # inside a slot: add-one, with one share for the unseen
-                slot = unit_slot[coded]
-                inside_slot = np.where(slot >= 0, logs - slots[slot], 0)
-                far, near, word = _around(coded.astype("i4"), starts, model.units)
-                own = model.log_probabilities(far, near, word, norms, tables) / np.log(10) + inside_slot
-                columns = [
-                    list(itertools.islice(rows, at - first)), doc_ids[first:at], flags[first:at], lengths.tolist(),
-                    n_known.tolist(), base.tolist(), np.add.reduceat(own, starts).tolist(),
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(c, f.type) for c, f in zip(columns, arrow, strict=False)), others],
-                    schema=arrow,
-                )
+        for group in _groups(batches):
+            lengths, distinct = group["lengths"].values.to_numpy(), group["words"]
+            codes = _from_planes(group["codes"].as_buffer())
+            starts, n = np.cumsum(lengths) - lengths, len(lengths)
+            # of the distinct words first
+            place = np.fromiter(map(rank.get, distinct, itertools.repeat(-1)), "i4", len(distinct))
+            missing = np.flatnonzero(place < 0)
+            if len(units):
+                unit, log = units[place], np.where(place >= 0, logs_of[place], 0)
+                unit[missing] = ids.hashed([distinct[i] for i in missing])
+            else:
+                unit, log = np.array(model_ids(distinct, ids), "i4"), np.zeros(len(distinct))
+            # inside a slot: add-one, with one share for the unseen
+            slot = unit_slot[unit]
+            inside_slot = np.where(slot >= 0, log - slots[slot], 0)
+            known = (place >= 0)[codes]
+            text = np.repeat(np.arange(n), lengths)
+            lost, times = np.unique(text[~known] * len(distinct) + codes[~known], return_counts=True)
+            others = pa.ListArray.from_arrays(
+                np.searchsorted(lost, np.arange(n + 1) * len(distinct)).astype("i4"),
+                pa.StructArray.from_arrays(
+                    [pa.array([distinct[i] for i in (lost % len(distinct)).tolist()], pa.binary()),
+                     pa.array(times, pa.int64())],
+                    names=["word", "times"],
+                ),
+            )
+            n_known = np.add.reduceat(known.astype("i8"), starts)
+            base = np.add.reduceat(log[codes], starts) - lengths * outside
+            far, near, word = _around(unit[codes], starts, model.units)
+            own = model.log_probabilities(far, near, word, norms, tables) / np.log(10) + inside_slot[codes]
+            columns = [
+                group["row"].as_py() + np.arange(n), group["doc_ids"].values, group["held"].values, lengths,
+                n_known, base, np.add.reduceat(own, starts),
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(c, f.type) for c, f in zip(columns, arrow, strict=False)), others],
+                schema=arrow,
+            )
 
     partial = written(
-        texts.mapInArrow(
+        coded.drop("times").mapInArrow(
             score,
             "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, "
             "own double, others array<struct<word:binary,times:long>>",
