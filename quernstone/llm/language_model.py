@@ -18,10 +18,10 @@ from __future__ import annotations
 
 import itertools
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +35,7 @@ FREQUENT, MODEL = 200_000, 384
 CLASSES, OWN, SHARED = 256, 33_408, 32_768
 END = b"\n"  # no word holds white space
 _LOG2E = np.float32(np.log2(np.e))  # powers of 2 take half the time of those of e
-_COUNTED = 2_000_000  # counts of groups that a task adds up before it passes them on
+_DISTINCT, _CODED = 500_000, 6_000_000  # words, and tokens, of texts that are coded together
 _TOKENS = 500_000  # tokens trained or scored together
 #: Few large rows: their sizes are looked at one by one, so neither side holds more than some of them.
 _LARGE_ROWS = {
@@ -79,32 +79,35 @@ def coded_texts(texts: DataFrame) -> DataFrame:
         ("lengths", pa.list_(pa.int64())), ("words", pa.binary()), ("times", pa.binary()), ("codes", pa.binary()),
     ])
 
-    def coded(rows, doc_ids, held, group):
-        lengths = [len(tokens) for tokens in group]
-        places, size = {}, sum(lengths)
-        # where each token's word occurs first
-        codes = np.fromiter(map(places.setdefault, itertools.chain.from_iterable(group), range(size)), "i4", size)
-        # the most frequent words come first, so most of the upper bytes are 0
-        starts = np.fromiter(places.values(), "i8", len(places))
-        order = np.argsort(-np.bincount(codes, minlength=size)[starts], kind="stable")
-        number = np.empty(size, "i4")
-        number[starts[order]] = np.arange(len(places))
-        codes = number[codes]
-        learned = np.repeat([flag is False for flag in held], lengths)
-        times = np.bincount(codes[learned], minlength=len(places))
-        distinct = list(places)
-        first = list(itertools.islice(rows, len(lengths)))[0]
-        columns = [
-            first, doc_ids, held, lengths, b" ".join([distinct[i] for i in order.tolist()]),
-            _in_planes(times), _in_planes(codes),
-        ]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([c], f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow
-        )
-
     def code(batches):
         rows = row_ids()
-        doc_ids, held, group, size, learned = [], [], [], 0, 0
+
+        def started():
+            number = defaultdict()
+            number.default_factory = number.__len__  # a new word gets the next number
+            return [], [], [], number
+
+        def coded(doc_ids, held, codes, number):
+            lengths = [len(c) for c in codes]
+            codes, distinct = np.concatenate(codes), list(number)
+            # the most frequent words come first, so most of the upper bytes are 0
+            order = np.argsort(-np.bincount(codes), kind="stable")
+            rank = np.empty(len(order), "i4")
+            rank[order] = np.arange(len(order))
+            codes = rank[codes]
+            learned = np.repeat([flag is False for flag in held], lengths)
+            times = np.bincount(codes[learned], minlength=len(order))
+            first = list(itertools.islice(rows, len(lengths)))[0]
+            columns = [
+                first, doc_ids, held, lengths, b" ".join([distinct[i] for i in order.tolist()]),
+                _in_planes(times), _in_planes(codes),
+            ]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([c], f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow
+            )
+
+        doc_ids, held, codes, number = started()
+        size = 0
         for batch in batches:
             for doc_id, text, flag in zip(
                 batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True
@@ -112,14 +115,14 @@ def coded_texts(texts: DataFrame) -> DataFrame:
                 tokens = words(text.as_py())
                 doc_ids.append(doc_id)
                 held.append(flag)
-                group.append(tokens)
+                codes.append(np.fromiter(map(number.__getitem__, tokens), "i4", len(tokens)))
                 size += len(tokens)
-                learned += len(tokens) if flag is False else 0
-                if learned >= _TOKENS or size >= 2 * _TOKENS:
-                    yield coded(rows, doc_ids, held, group)
-                    doc_ids, held, group, size, learned = [], [], [], 0, 0
-        if group:
-            yield coded(rows, doc_ids, held, group)
+                if len(number) >= _DISTINCT or size >= _CODED:
+                    yield coded(doc_ids, held, codes, number)
+                    doc_ids, held, codes, number = started()
+                    size = 0
+        if codes:
+            yield coded(doc_ids, held, codes, number)
 
     return texts.select("doc_id", "text", "held_out").mapInArrow(
         code,
@@ -129,26 +132,14 @@ def coded_texts(texts: DataFrame) -> DataFrame:
 
 
 def word_counts(coded: DataFrame) -> DataFrame:
-    """``word, c`` of all texts to learn from, each task's groups added up before the shuffle."""
+    """``word, c`` of all texts to learn from, each group's words added up before the shuffle."""
     arrow = pa.schema([("word", pa.binary()), ("c", pa.int64())])
 
     def count(batches):
-        held, n = [], 0
-
-        def flush():
-            table = pa.concat_tables(held).group_by("word").aggregate([("c", "sum")])
-            return table.rename_columns({"c_sum": "c"}).select(["word", "c"]).cast(arrow).combine_chunks().to_batches()
-
         for group in _groups(batches):
             times = _from_planes(group["times"].as_buffer())
-            table = pa.table([pa.array(group["words"], pa.binary()), pa.array(times, pa.int64())], schema=arrow)
-            held.append(table.filter(pc.field("c") > 0))
-            n += len(times)
-            if n >= _COUNTED:
-                yield from flush()
-                held, n = [], 0
-        if held:
-            yield from flush()
+            counts = pa.record_batch([pa.array(group["words"], pa.binary()), pa.array(times, pa.int64())], schema=arrow)
+            yield counts.filter(pa.array(times > 0))
 
     counted = coded.select("words", "times").mapInArrow(count, "word binary, c long")
     return counted.groupBy("word").agg(F.sum("c").alias("c"))
@@ -654,15 +645,24 @@ def _groups(batches):
             yield row | {"words": row["words"].as_py().split(b" ")}
 
 
+def _chunks(lengths: np.ndarray):
+    """Slices of texts, in order, of about ``_TOKENS`` tokens."""
+    ends, first, done = np.cumsum(lengths), 0, 0
+    while first < len(lengths):
+        last = min(int(np.searchsorted(ends, done + _TOKENS)), len(lengths) - 1) + 1
+        yield slice(first, last), slice(done, int(ends[last - 1]))
+        first, done = last, int(ends[last - 1])
+
+
 def coded_groups(batches, ids: Units):
     """The same of rows of ``coded_texts``, of which only texts to learn from are taken."""
     for group in _groups(batches):
         learned = np.array([flag is False for flag in group["held"].as_py()])
-        if learned.any():
-            lengths = group["lengths"].values.to_numpy()
-            codes = _from_planes(group["codes"].as_buffer())[np.repeat(learned, lengths)]
-            lengths = lengths[learned]
-            yield _units(group["words"], ids)[codes], np.cumsum(lengths) - lengths
+        lengths, units = group["lengths"].values.to_numpy(), _units(group["words"], ids)
+        codes = _from_planes(group["codes"].as_buffer())[np.repeat(learned, lengths)]
+        lengths = lengths[learned]
+        for texts, tokens in _chunks(lengths):
+            yield units[codes[tokens]], np.cumsum(lengths[texts]) - lengths[texts]
 
 
 def learn_all(model: LogBilinear, batches, ids, rng, groups=text_groups) -> int:
@@ -798,9 +798,7 @@ def score_documents(
         unit_slot[ids.member(ids.own + shared)] = shared
         rank = {word: i for i, word in enumerate(ranked)}
         for group in _groups(batches):
-            lengths, distinct = group["lengths"].values.to_numpy(), group["words"]
-            codes = _from_planes(group["codes"].as_buffer())
-            starts, n = np.cumsum(lengths) - lengths, len(lengths)
+            distinct = group["words"]
             # of the distinct words first
             place = np.fromiter(map(rank.get, distinct, itertools.repeat(-1)), "i4", len(distinct))
             missing = np.flatnonzero(place < 0)
@@ -812,29 +810,34 @@ def score_documents(
             # inside a slot: add-one, with one share for the unseen
             slot = unit_slot[unit]
             inside_slot = np.where(slot >= 0, log - slots[slot], 0)
-            known = (place >= 0)[codes]
-            text = np.repeat(np.arange(n), lengths)
-            lost, times = np.unique(text[~known] * len(distinct) + codes[~known], return_counts=True)
-            others = pa.ListArray.from_arrays(
-                np.searchsorted(lost, np.arange(n + 1) * len(distinct)).astype("i4"),
-                pa.StructArray.from_arrays(
-                    [pa.array([distinct[i] for i in (lost % len(distinct)).tolist()], pa.binary()),
-                     pa.array(times, pa.int64())],
-                    names=["word", "times"],
-                ),
-            )
-            n_known = np.add.reduceat(known.astype("i8"), starts)
-            base = np.add.reduceat(log[codes], starts) - lengths * outside
-            far, near, word = _around(unit[codes], starts, model.units)
-            own = model.log_probabilities(far, near, word, norms, tables) / np.log(10) + inside_slot[codes]
-            columns = [
-                group["row"].as_py() + np.arange(n), group["doc_ids"].values, group["held"].values, lengths,
-                n_known, base, np.add.reduceat(own, starts),
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c, f.type) for c, f in zip(columns, arrow, strict=False)), others],
-                schema=arrow,
-            )
+            every, every_length = _from_planes(group["codes"].as_buffer()), group["lengths"].values.to_numpy()
+            row, doc_ids, flags = group["row"].as_py(), group["doc_ids"].values, group["held"].values
+            for texts, tokens in _chunks(every_length):
+                codes, lengths = every[tokens], every_length[texts]
+                starts, n = np.cumsum(lengths) - lengths, len(lengths)
+                known = (place >= 0)[codes]
+                text = np.repeat(np.arange(n), lengths)
+                lost, times = np.unique(text[~known] * len(distinct) + codes[~known], return_counts=True)
+                others = pa.ListArray.from_arrays(
+                    np.searchsorted(lost, np.arange(n + 1) * len(distinct)).astype("i4"),
+                    pa.StructArray.from_arrays(
+                        [pa.array([distinct[i] for i in (lost % len(distinct)).tolist()], pa.binary()),
+                         pa.array(times, pa.int64())],
+                        names=["word", "times"],
+                    ),
+                )
+                n_known = np.add.reduceat(known.astype("i8"), starts)
+                base = np.add.reduceat(log[codes], starts) - lengths * outside
+                far, near, word = _around(unit[codes], starts, model.units)
+                own = model.log_probabilities(far, near, word, norms, tables) / np.log(10) + inside_slot[codes]
+                columns = [
+                    row + np.arange(texts.start, texts.stop), doc_ids[texts], flags[texts], lengths,
+                    n_known, base, np.add.reduceat(own, starts),
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(c, f.type) for c, f in zip(columns, arrow, strict=False)), others],
+                    schema=arrow,
+                )
 
     partial = written(
         coded.drop("times").mapInArrow(

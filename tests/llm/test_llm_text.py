@@ -262,6 +262,57 @@ def test_norms_from_factors_are_those_of_all_scores(monkeypatch):
         assert got[~heads] == pytest.approx(whole[~heads], abs=2e-4)
 
 
+def test_a_long_vector_leaves_the_other_words_their_factors(monkeypatch):
+    rng = np.random.default_rng(5)
+    model = language_model.LogBilinear(np.arange(7.0, 0, -1), size=4, inside=np.ones((4, 3)))
+    model.p["context"] = rng.normal(0, 1, model.p["context"].shape).astype("f4")
+    model.p["target"] = rng.normal(0, 1, model.p["target"].shape).astype("f4")
+    model.p["context"][5] = 300
+    far, near, word = (rng.integers(0, 15, 400) for _ in range(3))
+    z = model.predicted(far, near).astype("f8") @ model.p["target"].T.astype("f8") + model.p["bias"]
+    z -= z.max(1, keepdims=True)
+    tables = model.context_tables()
+    fits = tables[2][2]
+    assert not fits[5] and fits[:5].all() and tables[2][0][5] < 0 and (tables[2][0][:5] >= 0).all()
+    factored = []
+    monkeypatch.setattr(model, "_factored", lambda f, n, t, old=model._factored: factored.extend([*f, *n]) or old(f, n, t))
+    got = model.log_probabilities(far, near, word, tables=tables)
+    assert factored and 5 not in factored
+    expected = z[np.arange(400), model.first(word)] - np.log(np.exp(z).sum(1)) - np.log(3) * (word >= model.heads)
+    assert got == pytest.approx(expected, abs=2e-4)
+
+
+def test_texts_are_split_and_looked_up_once(spark, monkeypatch):
+    """All later steps see the words' numbers in place of the texts."""
+    rng = random.Random(8)
+    rows = edge_rows() + [(i, " ".join(f"W{rng.randrange(90)}" for _ in range(i % 40))) for i in range(300, 400)]
+    docs = documents(spark, rows).selectExpr("doc_id", "cast(text as binary) text")
+    docs = docs.withColumn("held_out", language_model.held_out(docs.doc_id)).coalesce(1)
+    coded = language_model.coded_texts(docs).persist()
+    found = []
+    for r in coded.collect():
+        table, codes = bytes(r.words).split(b" "), language_model._from_planes(bytes(r.codes)).tolist()
+        for doc_id, flag, n in zip(r.doc_ids, r.held, r.lengths, strict=True):
+            found.append((str(doc_id), flag, [table[c] for c in codes[:n]]))
+            codes = codes[n:]
+        assert not codes and len(set(table)) == len(table)
+    expected = [(str(r.doc_id), r.held_out, language_model.words(r.text)) for r in docs.collect()]
+    assert found == expected
+    counts = Counter(w for _, flag, text in expected if not flag for w in text)
+    assert {bytes(r.word): r.c for r in language_model.word_counts(coded).collect()} == counts
+    # groups to learn from, whatever they are cut to
+    units = language_model.Units({language_model.END: 0, b"w1": 1}, 2, 5, 9, 3)
+    learned = [text for _, flag, text in expected if not flag]
+    batches = coded.select("held", "lengths", "words", "codes").toArrow().to_batches()
+    for most in (1, 60, 10**6):
+        monkeypatch.setattr(language_model, "_TOKENS", most)
+        got = list(language_model.coded_groups(batches, units))
+        assert np.concatenate([ids for ids, _ in got]).tolist() == [units[w] for text in learned for w in text]
+        assert sum(len(starts) for _, starts in got) == len(learned)
+        assert len(got) == len(list(language_model._gathered([docs.where("not held_out").select("text").toArrow()])))
+    coded.unpersist()
+
+
 def test_words_without_a_unit_are_hashed_at_once():
     units = language_model.Units({language_model.END: 0}, 1, 5, 9, 3)
     lost = [b"w%d" % i for i in range(50)]
